@@ -15,26 +15,25 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import ascii_lower, cut
 
-#: Above this many boilerplate lines (8 bytes each) the set is joined by a shuffle instead of a broadcast.
-BROADCAST_LINES = 1_000_000
+#: Up to this many boilerplate lines (8 bytes each) go with the plan; beyond, the set is joined by a shuffle.
+SENT_LINES = 20_000
 
 
 def _line_key(line):
     return F.xxhash64(ascii_lower(F.trim(line)))
 
 
+def _line_keys(text):
+    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), _line_key))
+
+
 def boilerplate_lines(docs: DataFrame, min_sites: int = 10, near: float = 0.3, lg_k: int = 10) -> DataFrame:
     """docs(text, site) -> the hashes `line` spread over at least min_sites distinct sites."""
-    texts = (
-        docs.filter(F.col("text").isNotNull())
-        .select(F.xxhash64("text").alias("h"), F.coalesce("site", F.lit("\x00")).alias("site"), "text")
-    )
-    owner = texts.groupBy("h").agg(F.min("site").alias("owner"))
-    lines = (
-        texts.join(owner, "h")
-        .filter(F.col("site") == F.col("owner"))
-        .select("site", F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _line_key))).alias("line"))
-    )
+    texts = docs.filter(F.col("text").isNotNull()).select(
+        F.xxhash64("text").alias("h"), F.coalesce("site", F.lit("\x00")).alias("site"), _line_keys(F.col("text")).alias("keys")
+    )  # from here on lines are 8 bytes each
+    owner = docs.filter(F.col("text").isNotNull()).groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.coalesce("site", F.lit("\x00"))).alias("owner"))
+    lines = texts.join(owner, "h").filter(F.col("site") == F.col("owner")).select("site", F.explode("keys").alias("line"))
     spread = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
     spread = cut(spread.filter(F.col("sites") >= min_sites * (1 - near)))
     sure = spread.filter(F.col("sites") > min_sites * (1 + near)).select("line")
@@ -51,20 +50,17 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_found = found.count()
     lines = F.split(F.col(text_col), "\n")
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    if not n_found:
-        return docs.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long"), "n_removed": F.lit(0).cast("long")})
-    key = F.xxhash64(text_col)
-    marks = (
-        docs.filter(F.col(text_col).isNotNull())
-        .select(key.alias("__text"), F.explode(F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), _line_key))).alias("line"))
-        .distinct()
-    )
-    if n_found <= BROADCAST_LINES:
-        found = F.broadcast(found)
-    hits = marks.join(found, "line", "left_semi").groupBy("__text").agg(F.collect_set("line").alias("__drop"))
-    out = docs.withColumn("__text", key).join(hits, "__text", "left")
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), _line_key(x)))
-    out = out.withColumn("__kept", F.when(F.col("__drop").isNull() | F.col(text_col).isNull(), None).otherwise(kept))
+    if n_found <= SENT_LINES:
+        sent = [r[0] for r in found.collect()]
+        kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~_line_key(x).isin(sent))
+        out = docs.withColumn("__kept", F.when(F.size(kept) < F.size(lines), kept))
+    else:
+        key = F.xxhash64(text_col)
+        marks = docs.filter(F.col(text_col).isNotNull()).select(key.alias("__text"), F.explode(_line_keys(F.col(text_col))).alias("line")).distinct()
+        hits = marks.join(found, "line", "left_semi").groupBy("__text").agg(F.collect_set("line").alias("__drop"))
+        out = docs.withColumn("__text", key).join(hits, "__text", "left")
+        kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), _line_key(x)))
+        out = out.withColumn("__kept", F.when(F.col("__drop").isNull() | F.col(text_col).isNull(), None).otherwise(kept))
     return out.select(
         *[F.when(F.col("__kept").isNull(), F.col(c)).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
