@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def sub_batches(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4
     """Cut Arrow batches into runs of rows with about max_bytes of text, so that memory doesn't follow the batch size. A longer row comes alone."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and total + n > max_bytes:
