@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, fst_tokens, linespread, packing, sharding, simhash, urlfilter
+from corpusloom.llm import crf_lang, decontam, fst_tokens, hpylm, linespread, packing, sharding, simhash, urlfilter, vamana
 from corpusloom.llm.common import table
 
 
@@ -37,6 +37,10 @@ FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc
 """
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -53,6 +57,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_lang.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vamana.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return linespread.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept_text"))
