@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import cut, sub_batches
+from corpusloom.llm.common import cut, span_hash, sub_batches, word_spans
+from corpusloom.llm.fst_tokens import byte_letters
 
 # --- token ids ---
 
@@ -38,50 +39,70 @@ _LETTERS = "".join(c for c in _SIMPLE if unicodedata.category(c)[0] == "L")
 _DIGITS = "".join(c for c in _SIMPLE if unicodedata.category(c)[0] == "N")
 _BLANKS = "\t\n\x0b\x0c\r \x85\xa0"
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+")
-_BEYOND = re.compile("[^\x00-ɏ]")
-#: Words whose ids a worker keeps; then it starts anew.
-MEMO_WORDS = 400_000
+_BEYOND = re.compile("[\x01\x1c-\x1f\u0250-\U0010ffff]")
 
 
 class WordIds:
-    """Ids of whole texts as the library gives them; each word's ids are asked for once.
+    """Ids of whole texts as the library gives them.
 
-    The tokenizer lower-cases, drops white space and splits into words before its merges, so a text's ids are its
-    words' ids in order. Texts with characters beyond Latin, or a special token's opening, go to the library whole.
+    The tokenizer lower-cases, drops white space and splits into words before its merges, so a text's ids are those of
+    its chunks between white space, and a chunk's those of its words, in order; a batch's distinct chunks are encoded
+    once. The merges run in a rank encoder over the same vocabulary, where a control byte stands for a word's end.
+    Texts with that byte, separator controls or characters beyond Latin, or a special token's opening, go to the
+    library whole.
     """
 
     def __init__(self, path: str, end_id: int = 0) -> None:
-        from tokenizers import Tokenizer
+        import json
 
-        self.library, self.memo, self.end = Tokenizer.from_file(path), {}, np.uint32(end_id).tobytes()
-        vocab = self.library.get_vocab()
-        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # a word's last token, and no other, bears the ending
-        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        import tiktoken
+        from tokenizers import Tokenizer
 
-    def _learn(self, new: list[str]) -> None:
-        ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (np.flatnonzero(self.closes[ids]) + 1) * 4
-        if len(stops) != len(new):
+        self.library, self.end = Tokenizer.from_file(path), end_id
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters, vocab = byte_letters(), model["vocab"]
+        printed = {b: c for c, b in letters.items()}
+        names = [c + w for w in ("", "</w>") for c in (printed[b] for b in range(256))] + ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        names = list(dict.fromkeys(names))  # single bytes, with and without a word's end, then the merges in order
+        ranks = {}
+        for n in names:
+            core = n.removesuffix("</w>")
+            ranks[bytes(letters[c] for c in core) + (b"\x01" if core != n else b"")] = len(ranks)
+        self.encoder = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
+        self.ids = np.array([vocab[n] for n in names], np.uint32)
+        self.closes = np.array([n.endswith("</w>") for n in names])
+
+    def __call__(self, texts: list) -> Iterator[np.ndarray]:
+        """Of each text its unsigned 32-bit ids, the end id last."""
+        texts = [t or "" for t in texts]
+        odd = {i for i, t in enumerate(texts) if "<|" in t or _BEYOND.search(t)}
+        parts = [t.replace("\x85", " ").replace("\xa0", " ").lower().encode() for t in texts]
+        for i in odd:
+            parts[i] = b""
+        raw = b"\n".join(parts) + b"\n"
+        buf = np.frombuffer(raw, np.uint8)
+        s, e = word_spans(buf)
+        first = np.searchsorted(s, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+        _, at, chunk = np.unique(span_hash(buf, s, e), return_index=True, return_inverse=True)
+        chunks = [raw[a:b].decode() for a, b in zip(s[at].tolist(), e[at].tolist())]
+        words = [[c] if c.isalpha() else _WORDS.findall(c) for c in chunks]
+        got = np.array(self.encoder.encode_ordinary("".join(w + "\x01 " for ws in words for w in ws)), np.int64)
+        stops = np.flatnonzero(self.closes[got]) + 1
+        n_words = np.fromiter(map(len, words), np.int64, len(words))
+        if len(stops) != n_words.sum():
             raise ValueError("the tokenizer's words don't end in one closing token each")
-        raw, at = ids.tobytes(), 0
-        for w, stop in zip(new, stops.tolist()):
-            self.memo[w] = raw[at:stop]
-            at = stop
-
-    def __call__(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids, the end id last."""
-        text = text or ""
-        if "<|" in text or _BEYOND.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        words = _WORDS.findall(text.lower())
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words)) + self.end
-        except KeyError:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            self._learn(list({w for w in words if w not in memo}))
-            return b"".join(map(memo.__getitem__, words)) + self.end
+        stop = stops[np.cumsum(n_words) - 1] if len(words) else stops
+        start = np.concatenate(([0], stop[:-1])).astype(np.int64)
+        n = (stop - start)[chunk]
+        total = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[got[np.repeat(start[chunk] - total[:-1], n) + np.arange(total[-1])]]
+        for i in range(len(texts)):
+            own = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32) if i in odd else ids[total[first[i]] : total[first[i + 1]]]
+            yield np.append(own, np.uint32(self.end))
+
+
+_LOADED: dict[tuple[str, int], WordIds] = {}  # of a worker, over its tasks
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -91,18 +112,19 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a core a task
-        ids_of = WordIds(tokenizer_path, end_id)
+        if (tokenizer_path, end_id) not in _LOADED:
+            _LOADED[tokenizer_path, end_id] = WordIds(tokenizer_path, end_id)
+        ids_of = _LOADED[tokenizer_path, end_id]
         for b in sub_batches(batches, "text"):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                ids = ids_of(t)
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
+            for i, ids in enumerate(ids_of(b.column(1).to_pylist())):
+                for p, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
                     row.append(i)
                     piece.append(p)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+                    start.append(at)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
