@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.grouped import apply_sorted
+
 
 def weighted(weights: list[int], groups: int) -> list[int]:
     """The group of each item: a group closes at the target weight, or when as few items are left as groups; the rest joins the last."""
@@ -21,14 +23,15 @@ def weighted(weights: list[int], groups: int) -> list[int]:
 def plan(items: DataFrame, groups: int, by: str = "doc", weight: str = "weight") -> DataFrame:
     """items(doc, idx, weight) -> doc, chunk, first, last, weight."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        pdf["chunk"] = weighted(pdf[weight].tolist(), groups)
-        g = pdf.groupby("chunk", as_index=False).agg(first=("idx", "min"), last=("idx", "max"), weight=(weight, "sum"))
-        g.insert(0, by, pdf[by].iloc[0])
-        return g
+    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+        out: list[list] = []
+        for idx, w, c in zip(pdf.idx.tolist(), pdf[weight].tolist(), weighted(pdf[weight].tolist(), groups)):
+            if not out or out[-1][1] != c:
+                out.append([key[0], c, idx, idx, 0])
+            out[-1][3], out[-1][4] = idx, out[-1][4] + w
+        return [tuple(x) for x in out]
 
-    return items.select(by, "idx", weight).groupBy(by).applyInPandas(run, f"{by} {items.schema[by].dataType.simpleString()}, chunk int, first int, last int, weight long")
+    return apply_sorted(items.select(by, "idx", weight), [by], ["idx"], run, f"{by} {items.schema[by].dataType.simpleString()}, chunk int, first int, last int, weight long")
 
 
 def even_ranges(totals: DataFrame, n: str, chunks: int) -> DataFrame:

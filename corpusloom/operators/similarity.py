@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import functools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions.grouped import apply_sorted
 from corpusloom.functions.normalize import fold_yo, norm_space
 
 # Fixed value: what a word is.
@@ -83,6 +85,7 @@ def ratio(a: str, b: str, cap: int = 20_000) -> float:
     return difflib.SequenceMatcher(None, (a or "")[:cap], (b or "")[:cap]).ratio()
 
 
+@functools.lru_cache(maxsize=100_000)
 def title_similarity(a: str, b: str) -> float:
     import re
 
@@ -101,12 +104,14 @@ def _set_jaccard(a: set, b: set) -> float:
 def match_sections(a: pd.DataFrame, b: pd.DataFrame, least: float = 0.3) -> list[tuple[int | None, int | None, float, str]]:
     """Greedy one-to-one matching of sections (ordinal, title, shingles): best scores first, then order."""
     scores = []
-    for x in a.itertuples():
-        for y in b.itertuples():
-            content, title = _set_jaccard(set(x.shingles), set(y.shingles)), title_similarity(x.title, y.title)
-            score = title if not len(x.shingles) or not len(y.shingles) else max(content, 0.7 * content + 0.3 * title)
+    sets = lambda df: [(o, t, set(s)) for o, t, s in zip(df.ordinal.tolist(), df.title.tolist(), df.shingles.tolist())]
+    right = sets(b)
+    for i, title_a, x in sets(a):
+        for j, title_b, y in right:
+            content, title = _set_jaccard(x, y), title_similarity(title_a, title_b)
+            score = title if not x or not y else max(content, 0.7 * content + 0.3 * title)
             if score >= least:
-                scores.append((-score, x.ordinal, y.ordinal))
+                scores.append((-score, i, j))
     left, right, out = dict(zip(a.ordinal, a.title)), dict(zip(b.ordinal, b.title)), []
     for s, i, j in sorted(scores):
         if i in left and j in right:
@@ -120,12 +125,14 @@ def match_sections(a: pd.DataFrame, b: pd.DataFrame, least: float = 0.3) -> list
 def section_alignment(a: DataFrame, b: DataFrame, pair: list[str], least: float = 0.3) -> DataFrame:
     """a, b(*pair, ordinal, title, shingles) -> the matches of each pair of documents."""
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        key = (x if len(x) else y)[pair].iloc[0].tolist()
-        return pd.DataFrame([(*key, *m) for m in match_sections(x, y, least)], columns=[*pair, "a_ordinal", "b_ordinal", "similarity", "status"])
+    columns = [*pair, "ordinal", "title", "shingles"]
+    sided = a.select(*columns, F.lit(0).alias("side")).unionByName(b.select(*columns, F.lit(1).alias("side")))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+        return [(*key, *m) for m in match_sections(pdf[pdf.side == 0], pdf[pdf.side == 1], least)]
 
     kinds = ", ".join(f"{p} {a.schema[p].dataType.simpleString()}" for p in pair)
-    return a.groupBy(*pair).cogroup(b.groupBy(*pair)).applyInPandas(run, f"{kinds}, a_ordinal int, b_ordinal int, similarity double, status string")
+    return apply_sorted(sided, pair, ["side", "ordinal"], run, f"{kinds}, a_ordinal int, b_ordinal int, similarity double, status string")
 
 
 def structural_similarity(matches: DataFrame, pair: list[str], weight_a: str = "words_a", weight_b: str = "words_b") -> DataFrame:
@@ -156,14 +163,14 @@ def block_changes(a: list[str], b: list[str]) -> list[tuple[str, int | None, int
 def sequence_diff(a: DataFrame, b: DataFrame, pair: list[str]) -> DataFrame:
     """a, b(*pair, ordinal, key): only keys travel, not texts."""
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y = x.sort_values("ordinal"), y.sort_values("ordinal")
-        key = (x if len(x) else y)[pair].iloc[0].tolist()
-        rows = [(*key, t, None if i is None else int(x.ordinal.iloc[i]), None if j is None else int(y.ordinal.iloc[j])) for t, i, j in block_changes(x.key.tolist(), y.key.tolist())]
-        return pd.DataFrame(rows, columns=[*pair, "change", "a_ordinal", "b_ordinal"])
+    sided = a.select(*pair, "ordinal", "key", F.lit(0).alias("side")).unionByName(b.select(*pair, "ordinal", "key", F.lit(1).alias("side")))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        return [(*key, t, None if i is None else int(x.ordinal.iloc[i]), None if j is None else int(y.ordinal.iloc[j])) for t, i, j in block_changes(x.key.tolist(), y.key.tolist())]
 
     kinds = ", ".join(f"{p} {a.schema[p].dataType.simpleString()}" for p in pair)
-    return a.groupBy(*pair).cogroup(b.groupBy(*pair)).applyInPandas(run, f"{kinds}, change string, a_ordinal int, b_ordinal int")
+    return apply_sorted(sided, pair, ["side", "ordinal"], run, f"{kinds}, change string, a_ordinal int, b_ordinal int")
 
 
 def redline(a: str, b: str) -> list[tuple[str, str]]:

@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions.grouped import apply_sorted
 from corpusloom.functions.normalize import norm_space
 
 # Fixed value: what reads as a number.
-NUMERIC = r"^\s*[-+]?\d[\d\s ]*(?:[.,]\d+)?\s*%?\s*$"
+NUMERIC = r"^\s*[-+]?\d[\d\s\u00A0]*(?:[.,]\d+)?\s*%?\s*$"
 
 
 def looks_numeric(s: Column) -> Column:
@@ -71,7 +72,7 @@ def widths(scores: DataFrame, by: list[str], total: float, least: float) -> Data
 
 
 def _key(row: list) -> tuple:
-    return tuple(" ".join(str(x or "").replace(" ", " ").split()).lower() for x in row)
+    return tuple(" ".join(str(x or "").replace("\u00a0", " ").split()).lower() for x in row)
 
 
 def stitch(tables: list[dict], tolerance: int = 5000, probe: int = 16) -> list[dict]:
@@ -96,11 +97,11 @@ def stitch(tables: list[dict], tolerance: int = 5000, probe: int = 16) -> list[d
 def stitch_tables(tables: DataFrame) -> DataFrame:
     """tables(doc, table_index, width, style, total, text_before, rows) -> doc, first, members, n_rows, dropped."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
         got = stitch([{**r, "rows": [list(x) for x in r["rows"]]} for r in pdf.to_dict("records")])
-        return pd.DataFrame([(pdf.doc.iloc[0], g["members"][0], g["members"], len(g["rows"]), g["dropped"]) for g in got], columns=["doc", "first", "members", "n_rows", "dropped"])
+        return [(key[0], g["members"][0], g["members"], len(g["rows"]), g["dropped"]) for g in got]
 
-    return tables.groupBy("doc").applyInPandas(run, f"doc {tables.schema['doc'].dataType.simpleString()}, first int, members array<int>, n_rows int, dropped int")
+    return apply_sorted(tables, ["doc"], ["table_index"], run, f"doc {tables.schema['doc'].dataType.simpleString()}, first int, members array<int>, n_rows int, dropped int")
 
 
 def group_tables(tables: list[dict], mode: str = "safe") -> list[list[int]]:

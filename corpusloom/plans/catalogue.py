@@ -167,7 +167,8 @@ def near_dupe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     pairs = similarity.similar_pairs(docs, 0.5)
     secs = similarity.line_sections(similarity.normal_lines(docs))
-    side = lambda own: pairs.select("a", "b").join(secs.withColumnRenamed("doc", own), own).select("a", "b", "ordinal", "title", "shingles", F.size("shingles").alias("words"))
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  its own column ids
+    side = lambda own: fresh(fresh(pairs.select("a", "b")).join(fresh(secs.withColumnRenamed("doc", own)), own).select("a", "b", "ordinal", "title", "shingles", F.size("shingles").alias("words")))
     a, b = side("a"), side("b")
     found = similarity.section_alignment(a, b, ["a", "b"])
     words_of = lambda s, n: s.select(F.col("a").alias(f"{n}_a"), F.col("b").alias(f"{n}_b"), F.col("ordinal").alias(f"{n}_at"), F.col("words").alias(f"words_{n}"))
@@ -537,3 +538,115 @@ def range_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.floor(F.col("o_orderkey") / 32).alias("idx")).distinct()
     w = Window.partitionBy("doc").orderBy("idx")
     return x.withColumn("g", F.col("idx") - F.row_number().over(w)).groupBy("doc", "g").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n")).drop("g")
+
+
+# --- rules, paragraphs, words ---
+
+
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with measures, percents and references made of line items."""
+    li = read(spark, sf_dir, "lineitem")
+    q, d = F.col("l_quantity").cast("int").cast("string"), F.round(F.col("l_discount") * 100).cast("int").cast("string")
+    text = F.concat(F.lit("Площадь "), q, F.lit("кв.м и скидка "), d, F.lit(" % по п."), F.col("l_linenumber").cast("string"), F.lit(" договора №"), F.col("l_partkey").cast("string"))
+    return li.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("node"), F.col("l_partkey").alias("part"), text.alias("text"))
+
+
+_MEASURES = "m AS (SELECT l_orderkey AS file, l_linenumber AS node, l_partkey AS part, CAST(l_quantity AS INT) AS q, CAST(round(l_discount * 100) AS INT) AS d FROM lineitem)"
+
+
+@query(f"WITH {_MEASURES} SELECT file, node, part, 'Площадь ' || q || ' кв. м и скидка ' || d || '% по п.' || node || ' договора № ' || part AS fixed FROM m")
+def rule_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import rules
+
+    book = rules.chosen(rules.checked(rules.RULES, rules.LISTS)[0])
+    return rules.fix(_measures(spark, sf_dir), book, rules.LISTS).withColumnRenamed("text", "fixed")
+
+
+@query(f"""WITH {_MEASURES}, f AS (SELECT file, node, part, 'AUDIT-UNIT-SQM' AS rule_code, 'PLAN' AS action, 8 AS start, 8 + len(q || 'кв.м') AS "end", q || 'кв.м' AS before, q || ' кв. м' AS after FROM m
+UNION ALL SELECT file, node, part, 'AUDIT-PERCENT', 'PLAN', 8 + len(q || 'кв.м и скидка '), 8 + len(q || 'кв.м и скидка ' || d || ' %'), d || ' %', d || '%' FROM m
+UNION ALL SELECT file, node, part, 'AUDIT-ABBR-REFERENCE', 'SUGGEST', 8 + len(q || 'кв.м и скидка ' || d || ' % по '), 8 + len(q || 'кв.м и скидка ' || d || ' % по п.'), 'п.', 'п. ' FROM m
+UNION ALL SELECT file, node, part, 'AUDIT-NUMBER-SIGN', 'PLAN', 8 + len(q || 'кв.м и скидка ' || d || ' % по п.' || node || ' договора '), 8 + len(q || 'кв.м и скидка ' || d || ' % по п.' || node || ' договора №' || part), '№' || part, '№ ' || part FROM m)
+SELECT file, node, part, rule_code, action, start::INT AS start, "end"::INT AS "end", before, after FROM f""")
+def rule_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import rules
+
+    book = rules.chosen(rules.checked(rules.RULES, rules.LISTS)[0])
+    return rules.plan(_measures(spark, sf_dir), book, rules.LISTS).drop("context")
+
+
+@query()
+def deep_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.plans import pipelines
+
+    return pipelines.deep_hygiene(_measures(spark, sf_dir).select("file", "node", "text")).select("owner", "file", "node", "class_id", "status", "overlap_group")
+
+
+@query(f"""WITH {LINES} SELECT doc, idx, CASE idx % 6 WHEN 0 THEN 'table-caption' WHEN 1 THEN 'numbered-heading' WHEN 2 THEN 'list-dash' WHEN 3 THEN 'list-number' WHEN 4 THEN 'chapter' END AS kind FROM lines WHERE regexp_matches(text, '^[A-Z][a-z]{{2,}}')""")
+def paragraph_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import paragraphs
+
+    rows = lines(spark, sf_dir).filter(F.col("text").rlike("^[A-Z][a-z]{2,}"))
+    marks = F.array(*[F.lit(m) for m in ("Таблица 5 - ", "2.1 ", "- ", "3) ", "Глава 4. ", "")])
+    return rows.select("doc", "idx", paragraphs.kind(F.concat(F.get(marks, F.col("idx") % 6), F.col("text"))).alias("kind"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN 'skip_first_two_pages' WHEN l_quantity <= 3 THEN 'too_few_columns' WHEN l_partkey % 10 <= 2 THEN 'too_few_rows' WHEN l_suppkey % 5 < 2 THEN 'too_few_data_rows' ELSE 'ok' END AS reason FROM lineitem""")
+def fit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import paragraphs
+
+    li = read(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", paragraphs.fit_gate(F.col("l_linenumber"), F.col("l_quantity"), F.col("l_partkey") % 10, F.lit(1), F.col("l_suppkey") % 5, 3).alias("reason"))
+
+
+@query("""WITH s AS (SELECT l_suppkey AS doc, l_orderkey * 10 + l_linenumber AS section, l_returnflag || l_linestatus AS p FROM lineitem), v AS (SELECT doc, p, count(*) AS n, min(section) AS f FROM s GROUP BY 1, 2),
+u AS (SELECT doc, p AS usual FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, f) AS r FROM v) WHERE r = 1) SELECT doc, section, p AS profile FROM s JOIN u USING (doc) WHERE p <> usual""")
+def section_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import paragraphs
+
+    s = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("section"), F.concat("l_returnflag", "l_linestatus").alias("profile"))
+    return paragraphs.profile_changes(s, "profile").select("doc", "section", "profile")
+
+
+@query("""WITH s AS (SELECT o_custkey AS doc, o_orderkey AS section, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 END AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)
+SELECT doc, section, CASE WHEN r = 1 THEN 'page-number-first-section-start' ELSE 'page-number-section-restart' END AS class_id FROM s WHERE p IS NOT NULL AND (r > 1 OR p <> 1)""")
+def page_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import paragraphs
+
+    s = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("section"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 5).alias("page_start"))
+    return paragraphs.page_restarts(s).select("doc", "section", "class_id")
+
+
+@query()
+def inspect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structural checks over all documents, their lines as paragraphs."""
+    from corpusloom.operators import inspector
+
+    items = lines(spark, sf_dir).select(F.col("doc").alias("file"), "idx", F.lit("paragraph").alias("kind"), "text", F.lit("").alias("style_name"), F.lit(None).cast("string").alias("num_id"), F.lit(0).alias("drawings"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+    return inspector.inspect(items)
+
+
+@query("""SELECT c_custkey, lower('г. ' || c_mktsegment) AS locality, 'ул.' AS street_type, lower(c_mktsegment) AS street, CAST(c_nationkey AS VARCHAR) AS house, 'к' || (c_custkey % 9 + 1) AS mods FROM customer""")
+def address_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import address
+
+    c = read(spark, sf_dir, "customer")
+    text = F.concat(F.lit("город "), "c_mktsegment", F.lit(", улица "), "c_mktsegment", F.lit(", дом "), F.col("c_nationkey").cast("string"), F.lit(" корпус "), (F.col("c_custkey") % 9 + 1).cast("string"))
+    return c.select("c_custkey", address.parsed(text).alias("a")).select("c_custkey", *[f"a.{f}" for f in ("locality", "street_type", "street", "house", "mods")])
+
+
+@query("""SELECT l_orderkey, 'Строение № ' || l_partkey || ' и здания' AS after, 1 AS hits FROM lineitem""")
+def morph_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import morph
+
+    lexicon = spark.createDataFrame([("дом", "дом", ["nomn"]), ("дома", "дом", ["gent"]), ("строение", "строение", ["nomn"]), ("строения", "строение", ["gent"])], "form string, lemma string, grammemes array<string>")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("Дом № "), F.col("l_partkey").cast("string"), F.lit(" и здания")).alias("text"))
+    return morph.replace_in(rows, "дома", "строение", lexicon).select("l_orderkey", "after", "hits")
+
+
+@query("""WITH t AS (SELECT l_orderkey AS doc, min(l_linenumber) AS first, list(l_linenumber ORDER BY l_linenumber) AS members, count(*) AS k FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1)
+SELECT doc, first::INT AS first, members, (k + 1)::INT AS n_rows, (k - 1)::INT AS dropped FROM t""")
+def table_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as tables of a header and a row, stitched."""
+    t = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    rows = F.array(F.array(F.lit("line"), F.lit("value")), F.array(F.col("l_linenumber").cast("string"), F.lit("x")))
+    return tables.stitch_tables(t.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("table_index"), F.lit(2).alias("width"), F.lit("").alias("style"), F.lit(5000).alias("total"), F.lit(False).alias("text_before"), rows.alias("rows")))
