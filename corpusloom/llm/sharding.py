@@ -38,7 +38,8 @@ def _numbered(rows: DataFrame, n_shards: int, per_shard: int, seed: int) -> Data
         rows.repartition(n_shards * per_shard, "shard", "bucket")
         .groupBy("shard", "bucket")
         .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("held"))
-    )  # sorted first: the permutation depends on the seed and the bucket's rows, not on arrival
+        .sortWithinPartitions("shard", "bucket")
+    )  # rows and buckets sorted first: the permutation depends on the seed and the rows, not on arrival
     held = cut(held.withColumn("held", F.shuffle("held", F.lit(seed))))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = held.select("shard", "bucket", F.coalesce(F.sum(F.size("held").cast("long")).over(before), F.lit(0)).alias("base"))
