@@ -145,3 +145,41 @@ def markdown_outline(lines: DataFrame) -> DataFrame:
     rows = lines.withColumns({"h2": F.last(h2, ignorenulls=True).over(w), "__h3": F.last(F.when(text.rlike("^###? "), F.coalesce(h3, F.lit(""))), ignorenulls=True).over(w)})
     rows = rows.withColumns({"p": text.rlike(r"^\|.*\|$"), "r": F.row_number().over(w)}).filter("p").withColumn("island", F.col("r") - F.row_number().over(w))
     return rows.groupBy("doc", "island").agg(F.min("idx").alias("start"), F.max("idx").alias("end"), F.count("*").alias("n_rows"), F.min_by("h2", "idx").alias("h2"), F.min_by(F.nullif(F.col("__h3"), F.lit("")), "idx").alias("h3")).drop("island")
+
+
+def top_overlap(anchor: list, rows: list, probe: int = 20) -> tuple[int, int]:
+    """(rows, offset) of the longest run of the anchor's first rows that the next table begins with."""
+    best = (0, 0)
+    for offset in range(min(len(anchor), probe)):
+        n = 0
+        while n < min(probe, len(rows)) and offset + n < min(len(anchor), probe) and _key(anchor[offset + n]) == _key(rows[n]):
+            n += 1
+        if n > best[0]:
+            best = (n, offset)
+    return best
+
+
+def stitch_running(tables: list[dict], tolerance: int = 5000, separate: bool = False) -> list[dict]:
+    """Like stitch, for continuations that repeat only the rows below a preheader: those repeated rows are dropped wherever
+    they stand in the first table. With `separate` the preheader becomes a table of its own. A continuation without any
+    overlap keeps all its rows."""
+    out: list[dict] = []
+    for t in sorted(tables, key=lambda x: x["table_index"]):
+        last = out[-1] if out else None
+        if not (last and not t["text_before"] and t["width"] == last["width"] and t["style"] == last["style"] and abs(t["total"] - last["total"]) <= tolerance):
+            out.append({**t, "rows": list(t["rows"]), "first_rows": list(t["rows"]), "members": [t["table_index"]], "dropped": 0, "preheader": 0})
+            continue
+        n, offset = top_overlap(last["first_rows"], t["rows"])
+        if n and offset:
+            last["preheader"] = min(last["preheader"] or offset, offset)
+        last["rows"] += t["rows"][n:]
+        last["members"].append(t["table_index"])
+        last["dropped"] += n
+    if not separate:
+        return out
+    split = []
+    for t in out:
+        if t["preheader"]:
+            split.append({**t, "rows": t["rows"][: t["preheader"]], "members": t["members"][:1], "dropped": 0})
+        split.append({**t, "rows": t["rows"][t["preheader"] :]})
+    return split

@@ -650,3 +650,40 @@ def table_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     rows = F.array(F.array(F.lit("line"), F.lit("value")), F.array(F.col("l_linenumber").cast("string"), F.lit("x")))
     return tables.stitch_tables(t.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("table_index"), F.lit(2).alias("width"), F.lit("").alias("style"), F.lit(5000).alias("total"), F.lit(False).alias("text_before"), rows.alias("rows")))
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, source, lang LIMIT 20")
+def top_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the twenty places with the most rows."""
+    d = read(spark, sf_dir, "documents").filter("source is not null")
+    return d.groupBy("source", "lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "lang").limit(20)
+
+
+@query("SELECT l_shipmode AS style, kind, count(*) AS uses, min(o) AS first_use FROM (SELECT l_returnflag AS l_shipmode, l_linestatus AS kind, l_orderkey AS o FROM lineitem) GROUP BY 1, 2")
+def style_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("style"), F.col("l_linestatus").alias("kind")).agg(F.count("*").alias("uses"), F.min("l_orderkey").alias("first_use"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN [['Отчет', ''], ['Имя', 'Сумма'], ['1', '2']] WHEN 1 THEN [['Имя', 'Сумма'], ['1', '2']] WHEN 2 THEN [['1', '2']] ELSE [['Имя', 'Сумма'], ['', '']] END AS g FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 1 END AS headers, CASE o_orderkey % 4 WHEN 0 THEN 1 ELSE 0 END AS preheaders FROM o""")
+def header_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    grid = lambda *rows: F.array(*[F.array(*[F.lit(x) for x in r]) for r in rows])
+    k, head, one = F.col("o_orderkey") % 4, ("Имя", "Сумма"), ("1", "2")
+    g = F.when(k == 0, grid(("Отчет", ""), head, one)).when(k == 1, grid(head, one)).when(k == 2, grid(one)).otherwise(grid(head, ("", "")))
+    o = o.select("o_orderkey", g.alias("g")).withColumn("headers", tables.header_rows(F.col("g")))
+    return o.select("o_orderkey", "headers", tables.preheader_rows(F.col("g"), F.col("headers")).alias("preheaders"))
+
+
+@query("""SELECT c_custkey, replace(c_name || '|' || c_mktsegment, '|', chr(92) || '|') AS escaped, CASE WHEN length(c_name) <= 10 THEN c_name ELSE left(c_name, 7) || '...' END AS short FROM customer""")
+def report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    return c.select("c_custkey", N.md_escape(F.concat("c_name", F.lit("|"), "c_mktsegment")).alias("escaped"), N.truncate(F.col("c_name"), 10).alias("short"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN s >= 0.995 THEN 'normalised duplicate' WHEN n > 0 AND r / n >= 0.8 AND d <= 2 THEN 'linked versions' WHEN (n > 0 AND r / n >= 0.5) OR s >= 0.55 THEN 'similar candidate' WHEN n - r > 0 OR d > 0 THEN 'weak candidate' ELSE 'overall similarity' END AS recommendation
+FROM (SELECT l_orderkey, l_linenumber, l_discount * 10 AS s, l_linenumber AS r, CAST(l_quantity AS INT) % 10 AS n, CAST(l_quantity AS INT) % 4 AS d FROM lineitem)""")
+def pair_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("int")
+    r, n, d, s = F.col("l_linenumber"), q % 10, q % 4, F.col("l_discount") * 10
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", similarity.recommendation(s, s, r, n - r, d, n).alias("recommendation"))

@@ -114,3 +114,9 @@ def test_streaming(spark, tmp_path):
         q.awaitTermination(60)
     assert sorted(r.text for r in spark.table("out0").collect()) == ["a", "b  c"]
     assert spark.table("out1").first().double_space == 1
+
+
+def test_running_header():
+    t = {"width": 1, "style": "", "total": 100, "text_before": False}
+    got = tables.stitch_running([{**t, "table_index": 0, "rows": [["preheader"], ["head"], ["1"]]}, {**t, "table_index": 1, "rows": [["Head"], ["2"]]}, {**t, "table_index": 2, "rows": [["3"]]}], separate=True)
+    assert [g["rows"] for g in got] == [[["preheader"]], [["head"], ["1"], ["2"], ["3"]]]
