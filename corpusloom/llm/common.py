@@ -36,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Arrow batches of at most so many rows from here on in this session: texts are long, and a batch is held at both ends."""
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def ascii_lower(c) -> object:
     return F.translate(c, UPPER, LOWER)
 
@@ -45,7 +52,7 @@ def crc_bucket(id_col: str, modulus: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def sub_batches(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sub_batches(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with about max_bytes of text, so that memory doesn't follow the batch size. A longer row comes alone."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
@@ -88,15 +95,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+#: Bytes hashed at once.
+STRETCH = 1 << 20
+
+
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[s:e]: a polynomial over random byte values from prefix sums, then mixed with the length."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = _powers(max(1 << 22, 1 << int(len(buf) + 1).bit_length()))
-    sums = np.empty(len(buf) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of buf[s:e], in order and apart: a polynomial over random byte values from prefix sums, then mixed with the length."""
+    out, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):  # a stretch of the buffer at a time: a span's hash doesn't depend on where it stands
+        at = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, at + STRETCH, "right")))
+        part = buf[at : int(ends[hi - 1])]
+        up, down = _powers(max(STRETCH, 1 << int(len(part)).bit_length()))
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+        s, e = starts[lo:hi] - at, ends[lo:hi] - at
+        out[lo:hi] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        lo = hi
+    return out
 
 
 #: Bytes to words: space is what separates. ASCII white space only, or all ASCII but letters and digits; A-Z lowered in both.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER_TABLE, crc_bucket, join_texts, span_hash, sub_batches, word_spans
+from corpusloom.llm.common import LOWER_TABLE, crc_bucket, join_texts, small_batches, span_hash, sub_batches, word_spans
 
 #: Hashed weights of each kind of feature, words of a chunk.
 ROOM, CHUNK = 1 << 18, 32
@@ -214,13 +214,13 @@ def label_documents(docs: DataFrame, model: Model, text_col: str = "text", keep:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 4 * ROOM weights a label, whatever the input's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sub_batches(batches, "__text"):
+        for b in sub_batches(batches, "__text", 1 << 20):
             label, score = sent.value.predict(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*keep, "__lang_pred", "__score"])
 
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = docs.select(*keep).schema.add("__lang_pred", "string").add("__score", "double")
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = 300) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD_TABLE, join_texts, span_hash, sub_batches, word_spans
+from corpusloom.llm.common import WORD_TABLE, join_texts, small_batches, span_hash, sub_batches, word_spans
 
 
 class SuffixAutomaton:
@@ -176,7 +176,7 @@ def _mapped(rows: DataFrame, block: list, window: int, schema: str, emit) -> Dat
         for b in sub_batches(batches, "text"):
             yield emit(matcher, b)
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_item_words: int = 2_000_000) -> DataFrame:
@@ -250,4 +250,4 @@ def _mapped_wide(docs: DataFrame, text_col: str, block: list, window: int, emit)
         for b in sub_batches(batches, "__text"):
             yield emit(matcher, b)
 
-    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    return small_batches(docs).withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)

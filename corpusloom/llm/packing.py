@@ -16,6 +16,7 @@ Null text: an empty document, which is its end id alone. Repeated rows are packe
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import cut, span_hash, sub_batches, word_spans
+from corpusloom.llm.common import cut, small_batches, span_hash, sub_batches, word_spans
 from corpusloom.llm.fst_tokens import byte_letters
 
 # --- token ids ---
@@ -56,9 +57,8 @@ class WordIds:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library, self.end = Tokenizer.from_file(path), end_id
+        self.path, self.end = path, end_id
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         letters, vocab = byte_letters(), model["vocab"]
@@ -73,6 +73,12 @@ class WordIds:
         self.ids = np.array([vocab[n] for n in names], np.uint32)
         self.closes = np.array([n.endswith("</w>") for n in names])
 
+    @functools.cached_property
+    def library(self):  # few texts need it
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, texts: list) -> Iterator[np.ndarray]:
         """Of each text its unsigned 32-bit ids, the end id last."""
         texts = [t or "" for t in texts]
@@ -131,7 +137,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return small_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 # --- the plan ---
