@@ -81,7 +81,7 @@ def test_cells_and_loaders(spark, folder):
     assert {(r.row, r.col, r.value, r.value_type) for r in c.collect()} == {(1, 1, "Имя", "string"), (1, 2, "N", "string"), (3, 1, "1.5", "float"), (3, 2, "True", "bool")}
     assert ooxml.load_any(spark, f"{folder}/s.xlsx").first()["values"] == {"Имя": "1.5", "N": "True"}
     assert ooxml.load_any(spark, f"{folder}/t.csv").columns == ["Имя поля", "b"]
-    assert [r["values"] for r in ooxml.load_any(spark, f"{folder}/a.docx", 9).orderBy("row").collect()][0] == {"head": "b"} or True
+    assert [r["values"] for r in ooxml.load_any(spark, f"{folder}/a.docx", 9).orderBy("row").collect()] == [{"head": "a"}, {"head": "a"}]
     with pytest.raises(ValueError):
         ooxml.load_any(spark, f"{folder}/x.odt")
 
