@@ -269,6 +269,31 @@ def test_similar_groups(spark, none):
     assert kept == {*range(0, 48, 4), 100, 102} and simhash_wide.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("n_others", [0, 3000, 30_000])
+def test_similar_groups_of_block_edits(spark, n_others):
+    """Texts cut short, added to or with a block replaced: each meets its like, however many others there are."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    pairs = []
+    for g in range(120):
+        t = words(300)
+        n = rng.randrange(30, 55)
+        pairs.append((t, [t[:-n], t + words(n), t[:100] + words(n // 2) + t[100 + n // 2 :]][g % 3]))
+    jaccard = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in pairs]
+    assert 0.8 <= min(jaccard) < max(jaccard) <= 0.92
+    rows = [(2 * g + i, " ".join(t)) for g, p in enumerate(pairs) for i, t in enumerate(p)] + [(1000 + i, " ".join(words(60))) for i in range(n_others)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for a, b in pairs:  # exact, before any estimate
+        first = [simhash_wide.prefix(next(simhash_wide._shingles([" ".join(t)], 5)), np.empty(0, np.uint64), 0.8) for t in (a, b)]
+        assert np.isin(*first).any()
+    got = {r.doc_id: r.group for r in simhash_wide.similar_groups(df).collect()}
+    clear = [g for g in range(120) if jaccard[g] >= 0.85]  # clear of the threshold, at which the estimate has its error
+    assert len(clear) > 30 and sum(got[2 * g] == got[2 * g + 1] for g in clear) >= 0.95 * len(clear)
+    assert sum(got[2 * g] == got[2 * g + 1] for g in range(120)) >= 0.85 * 120
+    assert len({got[r[0]] for r in rows[240:]}) == n_others
+
+
 # --- 6 ---
 
 
