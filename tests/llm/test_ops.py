@@ -294,6 +294,34 @@ def test_similar_groups_of_block_edits(spark, n_others):
     assert len({got[r[0]] for r in rows[240:]}) == n_others
 
 
+@pytest.mark.parametrize("room", [20_000, 20, 6])
+def test_large_buckets_lose_nothing(spark, room):
+    """Variants of one template, many near each other and some only to one other, against all pairs."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    template, texts = words(200), []
+    for g in range(40):
+        own = list(template)
+        own[130:200] = words(rng.randrange(0, 70))  # the farther ones aren't near the template
+        for _ in range(1 + g % 4):
+            at = rng.randrange(120)
+            texts.append(" ".join([*own[:at], *words(rng.randrange(1, 5)), *own[at + 3 :]]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frequent = simhash_wide._frequent(df.withColumn("text_key", F.xxhash64("text")), len(texts), 5)
+    assert len(frequent) > 100
+    own = list(simhash_wide._shingles(texts, 5))
+    first = [set(simhash_wide.prefix(h, frequent, 0.8).tolist()) for h in own]
+    wide = [simhash_wide.wide_simhash(h, simhash_wide.WIDE) for h in own]
+    most, root = int(np.arccos(1.6 / 1.8) / np.pi * 640), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if first[i] & first[j] and np.bitwise_count(wide[i] ^ wide[j]).sum() <= most:
+                root = [root[i] if r == root[j] else r for r in root]
+    assert 5 < len(set(root)) < 40 and max(collections.Counter(root).values()) > 30 and max(collections.Counter(v for f in first for v in f).values()) > 20
+    got = {r.doc_id: r.group for r in simhash_wide.similar_groups(df, bucket_rows=room).collect()}
+    assert all((got[i] == got[j]) == (root[i] == root[j]) for i in range(len(texts)) for j in range(i))
+
+
 # --- 6 ---
 
 
