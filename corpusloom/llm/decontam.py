@@ -13,6 +13,7 @@ an id. Empty tables: no hits, or no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -217,29 +218,81 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("ids"), ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def _cut_out(text: str, spans: np.ndarray) -> str:
+    """text without the bytes of the ascending spans (start, end)."""
+    raw, out, last = text.encode("utf-8", "replace"), [], 0
+    for x, y in spans:
+        out.append(raw[last:x])
+        last = int(y)
+    return b"".join([*out, raw[last:]]).decode("utf-8", "replace")
+
+
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the runs of hit words, and the words after their last."""
+    edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def remove_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_coverage: float = 0.5, max_item_words: int = 2_000_000) -> DataFrame:
-    """docs with the hit spans cut from their texts; documents of which over max_coverage of the words is hit go."""
-    for block in _blocks(items, item_id, item_text, max_item_words):
-        names = docs.columns
-        pos = names.index(text_col)
-
-        def emit(matcher: Matcher, b: pa.RecordBatch) -> pa.RecordBatch:
-            texts, keep = b.column(len(names)).to_pylist(), []
-            for i, (n, flags, _, s, e) in enumerate(matcher.batch(texts)):
-                keep.append(flags is None or flags.sum() <= max_coverage * n)
-                if flags is not None and keep[-1]:
-                    raw, out, last = texts[i].encode("utf-8", "replace"), [], 0
-                    edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
-                    for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-                        out.append(raw[last : s[x]])
-                        last = int(e[y - 1])
-                    texts[i] = b"".join([*out, raw[last:]]).decode("utf-8", "replace")
-            cols = [pa.array(texts, pa.string()) if j == pos else b.column(j) for j in range(len(names))]
-            return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+    """docs with the hit spans cut from their texts; documents of which over max_coverage of the words is hit go.
 
-        # the text goes along under a name of its own: sub_batches looks for it, whatever other columns are called
-        docs = _mapped_wide(docs, text_col, block, window, emit)
-    return docs
+    With several blocks of items each passes over the texts as they are; the hits of all are joined by text, then
+    cut and judged once, so the result doesn't depend on the blocks.
+    """
+    names, blocks = docs.columns, _blocks(items, item_id, item_text, max_item_words)
+    pos = names.index(text_col)
+
+    def emit(matcher: Matcher, b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, keep = b.column(len(names)).to_pylist(), []
+        for i, (n, flags, _, s, e) in enumerate(matcher.batch(texts)):
+            keep.append(flags is None or flags.sum() <= max_coverage * n)
+            if flags is not None and keep[-1]:
+                x, y = _runs(flags)
+                texts[i] = _cut_out(texts[i], np.stack([s[x], e[y - 1]], axis=1))
+        cols = [pa.array(texts, pa.string()) if j == pos else b.column(j) for j in range(len(names))]
+        return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+
+    # the text goes along under a name of its own: sub_batches looks for it, whatever other columns are called
+    if len(blocks) == 1:
+        return _mapped_wide(docs, text_col, blocks[0], window, emit)
+
+    def emit_runs(matcher: Matcher, b: pa.RecordBatch) -> pa.RecordBatch:
+        """Of each text with hits its runs of hit words as first and last word."""
+        key, first, last = [], [], []
+        for k, (_, flags, _, _, _) in zip(b.column(1).to_pylist(), matcher.batch(b.column(0).to_pylist())):
+            if flags is not None:
+                x, y = _runs(flags)
+                key.append(k)
+                first.append(x.tolist())
+                last.append((y - 1).tolist())
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(first, pa.list_(pa.int32())), pa.array(last, pa.list_(pa.int32()))], names=["__key", "__first", "__last"])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sub_batches(batches, "__text"):
+            texts, keep = b.column(len(names)).to_pylist(), [True] * b.num_rows
+            found = b.column(len(names) + 1).to_pylist()
+            for i in (i for i, f in enumerate(found) if f):
+                raw, _ = join_texts([texts[i]], WORD_TABLE)
+                s, e = word_spans(np.frombuffer(raw, np.uint8))
+                flags = np.zeros(len(s), bool)
+                for run in found[i]:
+                    for x, y in zip(run["__first"], run["__last"]):
+                        flags[x : y + 1] = True
+                keep[i] = bool(flags.sum() <= max_coverage * len(s))
+                if keep[i]:
+                    x, y = _runs(flags)
+                    texts[i] = _cut_out(texts[i], np.stack([s[x], e[y - 1]], axis=1))
+            cols = [pa.array(texts, pa.string()) if j == pos else b.column(j) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+
+    text = F.col(text_col).cast("string")
+    key = F.unhex(F.sha2(text.cast("binary"), 256))
+    rows = docs.select(text.alias("text"), key.alias("__key"))
+    runs = [_mapped(rows, x, window, "__key binary, __first array<int>, __last array<int>", emit_runs).dropDuplicates(["__key"]) for x in blocks]
+    hits = functools.reduce(DataFrame.unionByName, runs).groupBy("__key").agg(F.collect_list(F.struct("__first", "__last")).alias("__runs"))
+    wide = docs.withColumns({"__text": text, "__hash": key})
+    wide = wide.join(hits, wide["__hash"] == hits["__key"], "left").select(*names, "__text", "__runs")
+    return small_batches(wide).mapInArrow(apply, docs.schema)
 
 
 def _mapped_wide(docs: DataFrame, text_col: str, block: list, window: int, emit) -> DataFrame:

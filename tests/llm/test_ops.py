@@ -78,6 +78,19 @@ def test_contamination(spark, docs, none, room):
     assert not {20} & {r.doc_id for r in clean.collect()}
 
 
+def test_blocks_of_items_change_nothing(spark):
+    """Coverage over the hits of all blocks; a window over words that another block hits; no window across a cut."""
+    w = [f"w{i}" for i in range(200)]
+    items = [(1, w[10:40]), (2, w[60:90]), (3, w[35:55]), (4, w[100:106] + w[120:127]), (5, w[106:120])]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    texts = [" ".join(t) for t in (w[:100], w[5:60] + [f"o{i}" for i in range(100)], w[95:135] + [f"o{i}" for i in range(60)], w[130:])] + [None, ""]
+    rows = spark.createDataFrame([*enumerate(texts), (1, texts[1])], "doc_id long, text string").repartition(2)
+    whole, split = (sorted(map(tuple, decontam.remove_hits(rows, bench, max_item_words=n).collect()), key=str) for n in (2_000_000, 20))
+    kept = " ".join([*w[5:10], "", *w[55:60], *(f"o{i}" for i in range(100))]), " ".join([*w[95:106], "", *w[120:135], *(f"o{i}" for i in range(60))])
+    want = [(1, kept[0]), (1, kept[0]), (2, kept[1]), (3, texts[3]), (4, None), (5, "")]
+    assert whole == split == sorted(want, key=str)
+
+
 # --- 2 ---
 
 
