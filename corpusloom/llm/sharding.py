@@ -1,23 +1,27 @@
 """Two-pass external shuffle into shards, with DataFrame functions only.
 
-Pass one scatters rows into memory-sized buckets by seeded hashes; pass two permutes each bucket
-(Spark's shuffle() of an array is a Fisher-Yates shuffle) and numbers the rows.
+Pass one scatters whole rows into memory-sized buckets by seeded hashes; pass two permutes each bucket
+(Spark's shuffle() of an array is a Fisher-Yates shuffle) and writes it, a bucket a task and a file. What
+assign_shards tells of a row is read from what was written.
 
 Law `key`: a row's shard is the number with the highest seeded hash of (id, number), so id and shard count
 decide, and one more shard takes rows only into itself.
 
 Null id: a key like any other. Null text: no bytes (size 1, crc32 of nothing). Equal ids share a shard;
-their buckets differ by text. Empty input: no rows. Other columns of the input are not read by assign_shards
-and are kept by write_shards.
+their buckets differ by text, but repeated rows share one. Empty input: no rows. All columns of the input are
+kept; they must be of types that can be ordered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import ensure_checkpoint_dir
 
 
 def shard_of(key: Column, n_shards: int, seed: int) -> Column:
@@ -31,53 +35,53 @@ def bucket_count(total_bytes: int, n_shards: int, bucket_bytes: int) -> int:
     return max(1, -(-total_bytes // (n_shards * bucket_bytes)))
 
 
-def _numbered(rows: DataFrame, n_shards: int, per_shard: int, seed: int) -> DataFrame:
-    """rows(shard, bucket, ...): permute each bucket and number each shard from 0."""
-    fields = [c for c in rows.columns if c not in ("shard", "bucket")]
-    held = (
-        rows.repartition(n_shards * per_shard, "shard", "bucket")
-        .groupBy("shard", "bucket")
-        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("held"))
-        .sortWithinPartitions("shard", "bucket")
-    )  # rows and buckets sorted first: the permutation depends on the seed and the rows, not on arrival
-    held = cut(held.withColumn("held", F.shuffle("held", F.lit(seed))))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = held.select("shard", "bucket", F.coalesce(F.sum(F.size("held").cast("long")).over(before), F.lit(0)).alias("base"))
-    return (
-        held.join(base, ["shard", "bucket"])
-        .select("shard", "bucket", "base", F.posexplode("held").alias("pos", "row"))
-        .select(*[F.col(f"row.{c}").alias(c) for c in fields], "shard", (F.col("base") + F.col("pos")).cast("long").alias("slot"))
-    )
-
-
-def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 8, seed: int = 17, bucket_bytes: int = 64 << 20) -> DataFrame:
-    """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard."""
-    raw = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
-        "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32")
-    )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    per_shard = bucket_count(total, n_shards, bucket_bytes)
-    rows = rows.withColumns(
-        {
-            "shard": shard_of(F.col("doc_id"), n_shards, seed),
-            "grown_shard": shard_of(F.col("doc_id"), n_shards + 1, seed),
-            "bucket": F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "text_crc32"), F.lit(per_shard)).cast("int"),
-        }
-    )
-    return _numbered(rows, n_shards, per_shard, seed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+def _apart(spark: SparkSession, n: int) -> list[int]:
+    """n keys of which repartition(n, key) gives each a partition of its own, in their order."""
+    keys, tried = {}, 0
+    while len(keys) < n:
+        more = spark.range(tried, tried := tried + 16 * n)
+        keys = {r[0]: r[1] for r in more.groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))).agg(F.min("id")).collect()} | keys
+    return [keys[i] for i in range(n)]
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 8, seed: int = 17, bucket_bytes: int = 64 << 20) -> None:
-    """Write whole rows as Parquet, one folder a shard, a file a bucket, in the permuted order within a file."""
+    """Write whole rows as Parquet, one folder a shard (`__shard`), a file a bucket (`__bucket`), in the permuted order (`__place`, from 0 in each bucket)."""
     total = docs.select(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1)).first()[0] or 0
     per_shard = bucket_count(total, n_shards, bucket_bytes)
-    key = F.col(id_col)
+    n_buckets = n_shards * per_shard
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), id_col, text_col), F.lit(per_shard)).cast("int")
+    placed = docs.withColumns({"__shard": shard_of(F.col(id_col), n_shards, seed), "__bucket": bucket})
+    # a bucket is a task: its key hashes to a partition of its own
+    keys = F.array(*map(F.lit, _apart(docs.sparkSession, n_buckets))).cast("array<int>")
+    scattered = placed.withColumn("__key", F.get(keys, F.col("__shard") * per_shard + F.col("__bucket"))).repartition(n_buckets, "__key")
+    # rows sorted first: the permutation depends on the seed and the rows, not on arrival
+    held = scattered.groupBy("__key", "__shard", "__bucket").agg(F.sort_array(F.collect_list(F.struct(*docs.columns))).alias("__held"))
+    dealt = held.withColumn("__held", F.shuffle("__held", F.lit(seed))).select("__shard", "__bucket", F.posexplode("__held").alias("__place", "__row"))
     (
-        docs.withColumns({"__shard": shard_of(key, n_shards, seed), "__bucket": F.pmod(F.xxhash64(F.lit(seed + 1), key, F.col(text_col)), F.lit(per_shard)), "__place": F.xxhash64(F.lit(seed + 2), key, F.col(text_col))})
-        .repartition(n_shards * per_shard, "__shard", "__bucket")
-        .sortWithinPartitions("__shard", "__bucket", "__place")
-        .drop("__bucket", "__place")
+        dealt.select(*[F.col("__row")[c].alias(c) for c in docs.columns], "__bucket", "__place", "__shard")
+        .sortWithinPartitions("__shard", "__bucket", "__place")  # as it is; the writer would sort by shard alone
         .write.partitionBy("__shard")
         .parquet(path)
     )
+
+
+def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 8, seed: int = 17, bucket_bytes: int = 64 << 20, path: str | None = None) -> DataFrame:
+    """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard, all from the shards written to path (else to the shared folder)."""
+    spark = docs.sparkSession
+    if path is None:
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/shards-{uuid.uuid4().hex}"
+    write_shards(docs, path, id_col, text_col, n_shards, seed, bucket_bytes)
+    written = spark.read.schema(StructType([*docs.schema.fields, *(StructField(c, IntegerType()) for c in ("__bucket", "__place", "__shard"))])).parquet(path)
+    before = Window.partitionBy("__shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = written.groupBy("__shard", "__bucket").count().select("__shard", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    return written.join(F.broadcast(base), ["__shard", "__bucket"]).select(
+        F.col(id_col).alias("doc_id"),
+        (F.octet_length(raw) + 1).cast("long").alias("size"),
+        F.crc32(raw.cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        F.col("__shard").alias("shard"),
+        (F.col("__base") + F.col("__place")).cast("long").alias("slot"),
+        shard_of(F.col(id_col), n_shards + 1, seed).alias("grown_shard"),
+    )

@@ -355,6 +355,37 @@ def test_sharding(spark, docs, none, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
 
 
+def test_shards_are_written(spark, docs, tmp_path):
+    """Whole rows are permuted and written, a bucket a file, and what op6 tells stands in the files."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "s")
+    told = sharding.assign_shards(docs, n_shards=3, bucket_bytes=4_000, path=path).collect()
+    per_shard, rows, moved = sharding.bucket_count(sum(len((t or "").encode()) + 1 for t in (r.text for r in docs.collect())), 3, 4_000), [], 0
+    assert per_shard > 3
+    files = glob.glob(f"{path}/__shard=*/*.parquet")
+    buckets = []
+    for f in files:
+        got = pq.ParquetFile(f).read().to_pylist()
+        shard = int(f.split("__shard=")[1].split("/")[0])
+        assert [r["__place"] for r in got] == list(range(len(got))) and len({r["__bucket"] for r in got}) == 1
+        buckets.append((shard, got[0]["__bucket"]))
+        key = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+        moved += key != sorted(key)
+        rows += [(shard, r) for r in got]
+    assert len(set(buckets)) == len(files) and moved
+    whole = lambda r: str([r[c] for c in docs.columns])
+    assert sorted(whole(r) for _, r in rows) == sorted(whole(r) for r in docs.collect())
+    base, want = collections.Counter(), []
+    for b in sorted(buckets):
+        own = [r for s, r in rows if (s, r["__bucket"]) == b]
+        want += [(str(r["doc_id"]), zlib.crc32((r["text"] or "").encode()), b[0], base[b[0]] + r["__place"]) for r in own]
+        base[b[0]] += len(own)
+    assert sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in told) == sorted(want)
+
+
 # --- 7 ---
 
 
