@@ -9,7 +9,8 @@ histogram of piece lengths, which has at most one entry a length however many do
    small pieces, go by decreasing length to where they fit best.
 
 Pieces, sequences and places stay in runs (length, ranks, sequences), so the plan's size depends on the number of
-lengths alone. Each piece then looks up its place by its length and its rank among the pieces of that length.
+lengths alone. Each piece then looks up its place by its length and its rank among the pieces of that length, and
+its token ids travel there: sequences() gives the packed ids, and pack() tells of the pieces from those.
 
 Null text: an empty document, which is its end id alone. Repeated rows are packed each. Empty input: no rows.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+import uuid
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import cut, small_batches, span_hash, sub_batches, word_spans
+from corpusloom.llm.common import ensure_checkpoint_dir, small_batches, span_hash, sub_batches, word_spans
 from corpusloom.llm.fst_tokens import byte_letters
 
 # --- token ids ---
@@ -112,7 +114,7 @@ _LOADED: dict[tuple[str, int], WordIds] = {}  # of a worker, over its tasks
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32."""
+    """doc_id, piece, start, length, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -122,22 +124,22 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             _LOADED[tokenizer_path, end_id] = WordIds(tokenizer_path, end_id)
         ids_of = _LOADED[tokenizer_path, end_id]
         for b in sub_batches(batches, "text"):
-            row, piece, start, length, crc = [], [], [], [], []
+            row, piece, start, ends, parts = [], [], [], [0], []
             for i, ids in enumerate(ids_of(b.column(1).to_pylist())):
                 for p, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
                     row.append(i)
                     piece.append(p)
                     start.append(at)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.astype("<u4").tobytes()))
+                    ends.append(ends[-1] + min(capacity, len(ids) - at))
+                parts.append(ids.astype(np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(np.diff(ends), pa.int64()), ids],
+                names=["doc_id", "piece", "start", "length", "ids"],
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return small_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids array<int>")
 
 
 # --- the plan ---
@@ -290,23 +292,53 @@ def make_plan(histogram: dict[int, int], capacity: int, n_groups: int = 48, smal
     return plan
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = cut(cut_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id))
+def sequences(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """One row per packed sequence: sequence_id, length, ids, pieces (offset, doc_id, piece, start, length) in their order."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    path = f"{docs.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/pieces-{uuid.uuid4().hex}"
+    pieces = cut_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id)
+    pieces.write.option("compression", "zstd").parquet(path)  # ids take less room there than in a checkpoint
+    pieces = docs.sparkSession.read.schema(pieces.schema).parquet(path)
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = min((make_plan(histogram, capacity, g) for g in (24, 48, 96)), key=lambda p: p.sequences)
     schema = "p_length bigint, p_rank bigint, p_n bigint, p_first bigint, p_each bigint, p_offset bigint"
     places = docs.sparkSession.createDataFrame(plan.places, schema)
     salts = 16 + sum(histogram.values()) // 1_000_000  # one length may hold any share of the pieces
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    pieces = pieces.withColumn("mark", F.xxhash64("ids")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "mark"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = pieces.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "mark")
     ranked = pieces.withColumn("own", F.row_number().over(own) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own"))
     on = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_rank")) & (F.col("rank") < F.col("p_rank") + F.col("p_n"))
     j = F.col("rank") - F.col("p_rank")
-    return ranked.join(F.broadcast(places), on).select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
+    placed = ranked.join(F.broadcast(places), on).select(
         (F.col("p_first") + F.floor(j / F.col("p_each"))).cast("long").alias("sequence_id"),
-        (F.col("p_offset") + (j % F.col("p_each")) * F.col("length")).cast("long").alias("offset"),
+        F.struct((F.col("p_offset") + (j % F.col("p_each")) * F.col("length")).cast("long").alias("offset"), "doc_id", "piece", "start", "length", "ids").alias("held"),
+    )
+    held = placed.repartition("sequence_id").groupBy("sequence_id").agg(F.sort_array(F.collect_list("held")).alias("held"))
+    return held.select(
+        "sequence_id",
+        F.aggregate("held.length", F.lit(0).cast("long"), lambda n, x: n + x).alias("length"),
+        F.flatten("held.ids").alias("ids"),
+        F.transform("held", lambda x: x.dropFields("ids")).alias("pieces"),
     )
+
+
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """One row per piece, told from the packed sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    packed = sequences(docs, tokenizer_path, id_col, text_col, capacity, end_id)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seq, ids, pieces = b.columns
+            own = dict(zip([f.name for f in pieces.type.value_type], pieces.flatten().flatten()))
+            starts, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype("<u4")
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(pieces.offsets)))
+            at = starts[row] + np.asarray(own["offset"])
+            crc = [zlib.crc32(flat[x:y]) for x, y in zip(at.tolist(), (at + np.asarray(own["length"])).tolist())]
+            own |= {"ids_crc32": pa.array(crc, pa.int64()), "sequence_id": seq.take(pa.array(row))}
+            yield pa.RecordBatch.from_arrays([own[c] for c in names], names=names)
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return small_batches(packed.select("sequence_id", "ids", "pieces")).mapInArrow(run, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

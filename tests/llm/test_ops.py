@@ -152,6 +152,30 @@ def test_packing(docs, none):
     assert set(pieces) == set(by) and packing.pack(none, WORDS).count() == 0
 
 
+def test_sequences_hold_their_ids(docs, none):
+    from tokenizers import Tokenizer
+
+    lib, by = Tokenizer.from_file(WORDS), dict(enumerate(TEXTS)) | {None: "null id"}
+    seen = collections.Counter()
+    got = packing.sequences(docs, WORDS).collect()
+    for r in got:
+        assert r["length"] == len(r.ids) == sum(p.length for p in r.pieces) <= 2048
+        for p in r.pieces:
+            ids = [*lib.encode(by[p.doc_id] or "", add_special_tokens=False).ids, 0]
+            assert r.ids[p.offset : p.offset + p.length] == ids[p.start : p.start + p.length]
+            seen[p.doc_id, p.piece] += 1
+    told = collections.Counter((r.doc_id, r.piece) for r in packing.pack(docs, WORDS).collect())
+    assert seen == told and len({r.sequence_id for r in got}) == len(got) and packing.sequences(none, WORDS).count() == 0
+
+
+def test_pipeline_ends_in_token_ids(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert got and all(len(r.ids) == r["length"] for r in got)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan(seed):
     rng = np.random.default_rng(seed)
