@@ -114,7 +114,7 @@ _LOADED: dict[tuple[str, int], WordIds] = {}  # of a worker, over its tasks
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids."""
+    """doc_id, piece, start, length, ids (little-endian, 2 bytes each where all of the piece fit, else 4)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -124,22 +124,22 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             _LOADED[tokenizer_path, end_id] = WordIds(tokenizer_path, end_id)
         ids_of = _LOADED[tokenizer_path, end_id]
         for b in sub_batches(batches, "text"):
-            row, piece, start, ends, parts = [], [], [], [0], []
+            row, piece, start, length, held = [], [], [], [], []
             for i, ids in enumerate(ids_of(b.column(1).to_pylist())):
                 for p, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
                     row.append(i)
                     piece.append(p)
                     start.append(at)
-                    ends.append(ends[-1] + min(capacity, len(ids) - at))
-                parts.append(ids.astype(np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+                    length.append(len(part))
+                    held.append(part.astype("<u2" if part.max() < 1 << 16 else "<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(np.diff(ends), pa.int64()), ids],
+                [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary())],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids array<int>")
+    return small_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids binary")
 
 
 # --- the plan ---
@@ -316,12 +316,24 @@ def sequences(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         F.struct((F.col("p_offset") + (j % F.col("p_each")) * F.col("length")).cast("long").alias("offset"), "doc_id", "piece", "start", "length", "ids").alias("held"),
     )
     held = placed.repartition("sequence_id").groupBy("sequence_id").agg(F.sort_array(F.collect_list("held")).alias("held"))
-    return held.select(
-        "sequence_id",
-        F.aggregate("held.length", F.lit(0).cast("long"), lambda n, x: n + x).alias("length"),
-        F.flatten("held.ids").alias("ids"),
-        F.transform("held", lambda x: x.dropFields("ids")).alias("pieces"),
-    )
+    names = ["offset", "doc_id", "piece", "start", "length"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = dict(zip([f.name for f in b.column(1).type.value_type], b.column(1).flatten().flatten()))
+            counts = np.diff(np.asarray(b.column(1).offsets))
+            n = np.asarray(own["length"])
+            ids = [np.frombuffer(x, "<u2" if len(x) == 2 * m else "<u4").astype(np.int32) for x, m in zip(own["ids"].to_pylist(), n.tolist())]
+            first = np.concatenate(([0], np.cumsum(counts)))
+            ends = np.concatenate(([0], np.cumsum(n)))[first]
+            pieces = pa.StructArray.from_arrays([own[c] for c in names], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids]))), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pieces)],
+                names=["sequence_id", "length", "ids", "pieces"],
+            )
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return small_batches(held).mapInArrow(run, f"sequence_id bigint, length bigint, ids array<int>, pieces array<struct<offset:bigint,doc_id:{id_type},piece:int,start:bigint,length:bigint>>")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
