@@ -9,8 +9,12 @@ histogram of piece lengths, which has at most one entry a length however many do
    small pieces, go by decreasing length to where they fit best.
 
 Pieces, sequences and places stay in runs (length, ranks, sequences), so the plan's size depends on the number of
-lengths alone. Each piece then looks up its place by its length and its rank among the pieces of that length, and
-its token ids travel there: sequences() gives the packed ids, and pack() tells of the pieces from those.
+lengths alone. Each piece looks up its place by its length and its rank among the pieces of that length: the task that
+cuts pieces numbers its own by length, and the tasks' counts, added up, tell where each task's ranks start. So token
+ids are shuffled once, to their sequence: sequences() gives the packed ids, and pack() tells of the pieces from those.
+
+Column generation ends at the optimum, or after `rounds` columns with a plan that is as valid but may need a few
+sequences more.
 
 Null text: an empty document, which is its end id alone. Repeated rows are packed each. Empty input: no rows.
 """
@@ -28,11 +32,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import ensure_checkpoint_dir, small_batches, span_hash, sub_batches, word_spans
+from corpusloom.llm.common import cut, ensure_checkpoint_dir, small_batches, span_hash, sub_batches, word_spans
 from corpusloom.llm.fst_tokens import byte_letters
 
 # --- token ids ---
@@ -111,10 +116,12 @@ class WordIds:
 
 
 _LOADED: dict[tuple[str, int], WordIds] = {}  # of a worker, over its tasks
+#: Up to so many tasks' starts are broadcast (16 KB each at most); beyond, pieces are joined to them by a shuffle.
+SENT_TASKS = 2048
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian, 2 bytes each where all of the piece fit, else 4)."""
+    """doc_id, piece, start, length, ids (little-endian, 2 bytes each where all of the piece fit, else 4), chunk (the task), own (rank among its pieces of that length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -123,8 +130,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         if (tokenizer_path, end_id) not in _LOADED:
             _LOADED[tokenizer_path, end_id] = WordIds(tokenizer_path, end_id)
         ids_of = _LOADED[tokenizer_path, end_id]
+        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in sub_batches(batches, "text"):
-            row, piece, start, length, held = [], [], [], [], []
+            row, piece, start, length, held, own = [], [], [], [], [], []
             for i, ids in enumerate(ids_of(b.column(1).to_pylist())):
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
@@ -132,14 +140,16 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                     piece.append(p)
                     start.append(at)
                     length.append(len(part))
+                    own.append(seen[len(part)])
+                    seen[len(part)] += 1
                     held.append(part.astype("<u2" if part.max() < 1 << 16 else "<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary())],
-                names=["doc_id", "piece", "start", "length", "ids"],
+                [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary()), pa.array(np.full(len(row), task, np.int32)), pa.array(own, pa.int64())],
+                names=["doc_id", "piece", "start", "length", "ids", "chunk", "own"],
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids binary")
+    return small_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids binary, chunk int, own bigint")
 
 
 # --- the plan ---
@@ -303,12 +313,15 @@ def sequences(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     plan = min((make_plan(histogram, capacity, g) for g in (24, 48, 96)), key=lambda p: p.sequences)
     schema = "p_length bigint, p_rank bigint, p_n bigint, p_first bigint, p_each bigint, p_offset bigint"
     places = docs.sparkSession.createDataFrame(plan.places, schema)
-    salts = 16 + sum(histogram.values()) // 1_000_000  # one length may hold any share of the pieces
-    pieces = pieces.withColumn("mark", F.xxhash64("ids")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "mark"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = pieces.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "mark")
-    ranked = pieces.withColumn("own", F.row_number().over(own) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own"))
+    counts = cut(pieces.groupBy("chunk", "length").count())
+    before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("chunk", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    # a task's starts by length as one array, of `capacity` numbers at most
+    table = base.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("m"), F.max("length").alias("top"))
+    table = table.select("chunk", F.transform(F.sequence(F.lit(1).cast("long"), "top"), lambda n: F.coalesce(F.col("m")[n], F.lit(0))).alias("bases"))
+    if counts.agg(F.count_distinct("chunk")).first()[0] <= SENT_TASKS:
+        table = F.broadcast(table)
+    ranked = pieces.join(table, "chunk").withColumn("rank", F.get("bases", (F.col("length") - 1).cast("int")) + F.col("own"))
     on = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_rank")) & (F.col("rank") < F.col("p_rank") + F.col("p_n"))
     j = F.col("rank") - F.col("p_rank")
     placed = ranked.join(F.broadcast(places), on).select(
