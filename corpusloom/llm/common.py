@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,6 +44,33 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def col(name: str):
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with as many underscores in front as it takes for a table with those columns not to hold them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_whole(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """mapInArrow for tables with any column names: run works by place and sees none of them."""
+    inside = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=inside.names)
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(renamed, inside).toDF(*schema.names)
+
+
 def ascii_lower(c) -> object:
     return F.translate(c, UPPER, LOWER)
 
@@ -52,11 +80,11 @@ def crc_bucket(id_col: str, modulus: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def sub_batches(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into runs of rows with about max_bytes of text, so that memory doesn't follow the batch size. A longer row comes alone."""
+def sub_batches(batches: Iterator[pa.RecordBatch], text: str | int, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of rows with about max_bytes of text (a column's name or place), so that memory doesn't follow the batch size. A longer row comes alone."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
+        texts = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and total + n > max_bytes:

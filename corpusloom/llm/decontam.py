@@ -4,17 +4,22 @@ Words: A-Z lowered, runs of letters and digits of ASCII and of everything beyond
 words of an item; a shorter item is one window. Documents stream through the automaton, which gives for every word
 the longest match that ends there; where it reaches a window's length, the window's words are hit.
 
-The items are meant to be few: beyond max_item_words words the automata are built in blocks and the documents
-pass once per block, so that what is sent to the executors stays bounded.
+The items are meant to be few: beyond about max_item_words words they are dealt into blocks by a hash, the driver holds
+one block at a time, and the documents pass once per block, so that what is sent to the executors stays bounded. A
+worker keeps the automaton of its last block over its tasks.
 
 Null or wordless text: no words, not contaminated. Null or wordless items match nothing. Repeated items count once
-an id. Empty tables: no hits, or no rows.
+an id. Items with a null id hit words, count as one item together and are left out of the digest of ids. Words are
+looked up by 64-bit hashes. Other columns of the documents pass as they are, whatever their names. Empty tables: no
+hits, or no rows.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD_TABLE, join_texts, small_batches, span_hash, sub_batches, word_spans
+from corpusloom.llm.common import WORD_TABLE, col, free, join_texts, map_whole, small_batches, span_hash, sub_batches, word_spans
+
+
+_NONE: frozenset = frozenset()
 
 
 class SuffixAutomaton:
     """Of several word sequences; each state knows the items that hold its words."""
 
     def __init__(self, window: int) -> None:
-        self.window, self.next, self.link, self.length, self.items, self.whole = window, [{}], [-1], [0], [set()], {}
+        self.window, self.next, self.link, self.length, self.items, self.whole = window, [{}], [-1], [0], [_NONE], {}
 
     def _state(self, length: int, copy: int | None = None) -> int:
         self.length.append(length)
         self.next.append(dict(self.next[copy]) if copy is not None else {})
         self.link.append(self.link[copy] if copy is not None else 0)
-        self.items.append(set(self.items[copy]) if copy is not None else set())
+        self.items.append(set(self.items[copy]) if copy is not None and self.items[copy] else _NONE)
         return len(self.link) - 1
 
     def _split(self, p: int, q: int, word: int) -> int:
@@ -71,7 +79,7 @@ class SuffixAutomaton:
             at = self.next[at][w]
             s = at
             while len(words) >= self.window and s > 0 and item not in self.items[s]:
-                self.items[s].add(item)
+                self.items[s] = {item} if not self.items[s] else self.items[s] | {item}
                 s = self.link[s]
         if 0 < len(words) < self.window:
             self.whole.setdefault(at, (len(words), set()))[1].add(item)
@@ -157,36 +165,45 @@ class Matcher:
             yield hi - lo, *hits.get(d, (None, set())), s[lo:hi] - begin[d], e[lo:hi] - begin[d]
 
 
-def _blocks(items: DataFrame, item_id: str, item_text: str, max_item_words: int) -> list[list[tuple[str, str | None]]]:
-    blocks, room = [[]], max_item_words
-    for item, text in items.select(F.col(item_id).cast("string"), F.col(item_text)).distinct().toLocalIterator():
-        n = len(text or "") // 2 + 1  # words at most
-        if n > room and blocks[-1]:
-            blocks.append([])
-            room = max_item_words
-        blocks[-1].append((item, text))
-        room -= n
-    return blocks
+def _blocks(items: DataFrame, item_id: str, item_text: str, max_item_words: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items in blocks of about max_item_words words, one at a time."""
+    rows = items.select(col(item_id).cast("string").alias("id"), col(item_text).cast("string").alias("text")).distinct()
+    words = rows.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) / 2 + 1)).first()[0] or 0  # at most
+    n = max(1, -(-int(words) // max_item_words))
+    for i in range(n):
+        own = rows if n == 1 else rows.filter(F.pmod(F.xxhash64(F.lit(7), "id", "text"), F.lit(n)) == i)
+        yield [(r[0], r[1]) for r in own.collect()]
+
+
+_KEPT: dict[str, Matcher] = {}  # of a worker, the last block's
+
+
+def _matcher(name: str, block: list, window: int) -> Matcher:
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Matcher(block, window)
+    return _KEPT[name]
 
 
-def _mapped(rows: DataFrame, block: list, window: int, schema: str, emit) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast((block, window))
+def _mapped(rows: DataFrame, text_at: int, block: list, window: int, schema, emit) -> DataFrame:
+    """emit(matcher, batch) over rows whose column text_at is the text."""
+    sent, name = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(*sent.value)
-        for b in sub_batches(batches, "text"):
+        matcher = _matcher(name, sent.value, window)
+        for b in sub_batches(batches, text_at):
             yield emit(matcher, b)
 
-    return small_batches(rows).mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema) if isinstance(schema, str) else map_whole(small_batches(rows), run, schema)
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_item_words: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_item_words: int = 500_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (hit words are 5 % or more)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    def digest(ids: set[str]) -> str:
-        return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    def digest(ids: set) -> str:
+        return hashlib.sha256(",".join(sorted(x for x in ids if x is not None)).encode()).hexdigest()
 
     def emit(matcher: Matcher, b: pa.RecordBatch) -> pa.RecordBatch:
         n, h, k, sha = [], [], [], []
@@ -199,16 +216,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(sha), pa.array(bad)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     blocks = _blocks(items, item_id, item_text, max_item_words)
-    if len(blocks) == 1:
-        return _mapped(rows, blocks[0], window, f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean", emit)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _mapped(rows, 1, first, window, f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean", emit)
 
     def emit_part(matcher: Matcher, b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(n, [] if f is None else np.flatnonzero(f).tolist(), sorted(ids)) for n, f, ids, _, _ in matcher.batch(b.column(1).to_pylist())]
+        found = [(n, [] if f is None else np.flatnonzero(f).tolist(), list(ids)) for n, f, ids, _, _ in matcher.batch(b.column(1).to_pylist())]
         n, at, ids = zip(*found)
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], names=["doc_id", "key", "n_words", "at", "ids"])
 
     rows = rows.withColumn("key", F.xxhash64("text"))
-    parts = [_mapped(rows, x, window, f"doc_id {id_type}, key bigint, n_words bigint, at array<int>, ids array<string>", emit_part).groupBy("doc_id", "key").agg(F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("at").alias("at"), F.first("ids").alias("ids")) for x in blocks]
+    parts = [_mapped(rows, 1, x, window, f"doc_id {id_type}, key bigint, n_words bigint, at array<int>, ids array<string>", emit_part).groupBy("doc_id", "key").agg(F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("at").alias("at"), F.first("ids").alias("ids")) for x in itertools.chain((first, second), blocks)]
     out = parts[0]
     for p in parts[1:]:
         p = p.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("at").alias("at2"), F.col("ids").alias("ids2"))
@@ -233,14 +251,16 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def remove_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_coverage: float = 0.5, max_item_words: int = 2_000_000) -> DataFrame:
+def remove_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_coverage: float = 0.5, max_item_words: int = 500_000) -> DataFrame:
     """docs with the hit spans cut from their texts; documents of which over max_coverage of the words is hit go.
 
     With several blocks of items each passes over the texts as they are; the hits of all are joined by text, then
     cut and judged once, so the result doesn't depend on the blocks.
     """
     names, blocks = docs.columns, _blocks(items, item_id, item_text, max_item_words)
-    pos = names.index(text_col)
+    first, second = next(blocks), next(blocks, None)
+    pos, text = names.index(text_col), col(text_col).cast("string")
+    as_text, key_name, own_key, runs_name = free(names, "as_text", "key", "own_key", "runs")
 
     def emit(matcher: Matcher, b: pa.RecordBatch) -> pa.RecordBatch:
         texts, keep = b.column(len(names)).to_pylist(), []
@@ -252,9 +272,8 @@ def remove_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
         cols = [pa.array(texts, pa.string()) if j == pos else b.column(j) for j in range(len(names))]
         return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    # the text goes along under a name of its own: sub_batches looks for it, whatever other columns are called
-    if len(blocks) == 1:
-        return _mapped_wide(docs, text_col, blocks[0], window, emit)
+    if second is None:  # the text goes along once more as a string, last
+        return _mapped(docs.select(*map(col, names), text.alias(as_text)), len(names), first, window, docs.schema, emit)
 
     def emit_runs(matcher: Matcher, b: pa.RecordBatch) -> pa.RecordBatch:
         """Of each text with hits its runs of hit words as first and last word."""
@@ -265,10 +284,10 @@ def remove_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
                 key.append(k)
                 first.append(x.tolist())
                 last.append((y - 1).tolist())
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(first, pa.list_(pa.int32())), pa.array(last, pa.list_(pa.int32()))], names=["__key", "__first", "__last"])
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(first, pa.list_(pa.int32())), pa.array(last, pa.list_(pa.int32()))], names=["key", "first", "last"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sub_batches(batches, "__text"):
+        for b in sub_batches(batches, len(names)):
             texts, keep = b.column(len(names)).to_pylist(), [True] * b.num_rows
             found = b.column(len(names) + 1).to_pylist()
             for i in (i for i, f in enumerate(found) if f):
@@ -276,7 +295,7 @@ def remove_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
                 s, e = word_spans(np.frombuffer(raw, np.uint8))
                 flags = np.zeros(len(s), bool)
                 for run in found[i]:
-                    for x, y in zip(run["__first"], run["__last"]):
+                    for x, y in zip(run["first"], run["last"]):
                         flags[x : y + 1] = True
                 keep[i] = bool(flags.sum() <= max_coverage * len(s))
                 if keep[i]:
@@ -285,22 +304,10 @@ def remove_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
             cols = [pa.array(texts, pa.string()) if j == pos else b.column(j) for j in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    text = F.col(text_col).cast("string")
     key = F.unhex(F.sha2(text.cast("binary"), 256))
-    rows = docs.select(text.alias("text"), key.alias("__key"))
-    runs = [_mapped(rows, x, window, "__key binary, __first array<int>, __last array<int>", emit_runs).dropDuplicates(["__key"]) for x in blocks]
-    hits = functools.reduce(DataFrame.unionByName, runs).groupBy("__key").agg(F.collect_list(F.struct("__first", "__last")).alias("__runs"))
-    wide = docs.withColumns({"__text": text, "__hash": key})
-    wide = wide.join(hits, wide["__hash"] == hits["__key"], "left").select(*names, "__text", "__runs")
-    return small_batches(wide).mapInArrow(apply, docs.schema)
-
-
-def _mapped_wide(docs: DataFrame, text_col: str, block: list, window: int, emit) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((block, window))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(*sent.value)
-        for b in sub_batches(batches, "__text"):
-            yield emit(matcher, b)
-
-    return small_batches(docs).withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    rows = docs.select(text.alias("text"), key.alias("key"))
+    found = [_mapped(rows, 0, x, window, "key binary, first array<int>, last array<int>", emit_runs).dropDuplicates(["key"]) for x in itertools.chain((first, second), blocks)]
+    hits = functools.reduce(DataFrame.unionByName, found).groupBy(F.col("key").alias(key_name)).agg(F.collect_list(F.struct("first", "last")).alias(runs_name))
+    wide = docs.withColumns({as_text: text, own_key: key})
+    wide = wide.join(hits, wide[own_key] == hits[key_name], "left").select(*map(col, names), as_text, runs_name)
+    return map_whole(small_batches(wide), apply, docs.schema)
