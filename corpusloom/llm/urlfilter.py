@@ -1,8 +1,9 @@
 """URL rules through a blocked Bloom filter and an exact join.
 
 The listed canonical URLs (host and path prefix) go into a Bloom filter of 256-bit blocks. Each URL's possible
-listings - every suffix of its host at a dot, with every listed length of its path - are looked up there; the
-possible hits go to an exact hash join with the list, which removes the false positives. The longest listing wins.
+listings - each suffix of its host with as many labels as a listed host has, with every listed length of its path -
+are looked up there; the possible hits go to an exact hash join with the list, which removes the false positives. The
+longest listing wins. So a URL costs its length, however many labels its host has.
 
 Null url or no `://`: host and path are empty, no rule. No rule fits: the verdict is allow (nothing listed).
 Repeated rows are kept. Empty input or an empty list: no rows, or no rules.
@@ -64,24 +65,29 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     listed = rules.select(F.concat_ws("\x01", "rule_host", "rule_path").alias("key"), F.concat("rule_host", "rule_path").alias("rule"), "action")
     n_rules = listed.count()
     lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())  # bounded by the longest path
+    depths = sorted(r[0] for r in rules.select(F.size(F.split("rule_host", r"\."))).distinct().collect())  # and the deepest host
     n_blocks = max(1, -(-n_rules * BITS_PER_KEY // BLOCK_BITS))
     blocks = bloom_blocks(listed, n_blocks)
     if n_blocks <= BROADCAST_ROWS:
         blocks = F.broadcast(blocks)
     if n_rules <= BROADCAST_ROWS:
         listed = F.broadcast(listed)
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    n_labels = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+    tails = F.filter(F.array(*[F.lit(n) for n in depths]).cast("array<int>"), lambda n: n <= n_labels)
     heads = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     distinct = urls.select("host", "path").distinct().filter("host != ''")
     asked = (
-        distinct.withColumn("suffix", F.explode(suffixes))
+        distinct.withColumn("tail", F.explode(tails))
         .withColumn("head", F.explode(heads))
-        .select("host", "path", F.concat_ws("\x01", "suffix", F.expr("substring(path, 1, head)")).alias("key"))
+        .select("host", "path", F.concat_ws("\x01", F.expr("substring_index(host, '.', -tail)"), F.expr("substring(path, 1, head)")).alias("key"))
         .withColumn("block", _block(F.col("key"), n_blocks))
     )
     possible = asked.join(blocks, "block").filter(_may_hold(F.col("key"))).select("host", "path", "key")
     best = possible.join(listed, "key").groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "rule")).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select(
+    # URLs without a host match nothing: they are spread instead of meeting at one key
+    apart = F.concat(F.lit("\x01"), F.xxhash64("page_id", F.spark_partition_id()).cast("string"))
+    urls = urls.withColumn("at", F.when(F.col("host") == "", apart).otherwise(F.col("host")))
+    best = best.select(F.col("host").alias("at"), "path", "best")
+    return urls.join(best, ["at", "path"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit("allow")).alias("verdict")
     )
