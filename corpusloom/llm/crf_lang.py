@@ -10,7 +10,7 @@ hold up a batch; the posteriors are those of the whole text.
 
 The fit uses a bounded sample of the labelled rows (sample_rows a label). Null text, or none of its characters a
 letter: `und` with score 0. Null labels aren't learned. No labelled rows at all: every text is `und`.
-Repeated rows are labelled alike. Empty input: no rows.
+Repeated rows are labelled alike. Other columns pass as they are, whatever their names. Empty input: no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER_TABLE, crc_bucket, join_texts, small_batches, span_hash, sub_batches, word_spans
+from corpusloom.llm.common import LOWER_TABLE, col, crc_bucket, free, join_texts, map_whole, small_batches, span_hash, sub_batches, word_spans
 
 #: Hashed weights of each kind of feature, words of a chunk.
 ROOM, CHUNK = 1 << 18, 32
@@ -208,23 +208,25 @@ def hash_key(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
-def label_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: all) with lang_pred and score."""
+def label_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` (default: all) and the two `names`, which must not be among them."""
     keep = docs.columns if keep is None else keep
+    if clash := {c.lower() for c in keep} & {n.lower() for n in names}:
+        raise ValueError(f"columns {sorted(clash)} are taken: choose other names")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 4 * ROOM weights a label, whatever the input's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sub_batches(batches, "__text", 1 << 20):
+        for b in sub_batches(batches, len(keep), 1 << 20):
             label, score = sent.value.predict(b.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*keep, "__lang_pred", "__score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
 
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = docs.select(*keep).schema.add("__lang_pred", "string").add("__score", "double")
-    return small_batches(rows).mapInArrow(run, schema)
+    rows = docs.select(*map(col, keep), col(text_col).cast("string").alias(free(keep, "as_text")[0]))
+    schema = docs.select(*map(col, keep)).schema.add(names[0], "string").add(names[1], "double")
+    return map_whole(small_batches(rows), run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = 300) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from rows whose crc32(id) mod 5 is not 0."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang")).withColumn("held_out", crc_bucket("doc_id") == 0)
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(label_col).alias("lang")).withColumn("held_out", crc_bucket("doc_id") == 0)
     model = train(rows.filter(~F.col("held_out")), sample_rows=sample_rows)
-    return label_documents(rows, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    return label_documents(rows, model, keep=["doc_id", "held_out"])

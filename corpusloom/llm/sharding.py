@@ -8,8 +8,9 @@ Law `key`: a row's shard is the number with the highest seeded hash of (id, numb
 decide, and one more shard takes rows only into itself.
 
 Null id: a key like any other. Null text: no bytes (size 1, crc32 of nothing). Equal ids share a shard;
-their buckets differ by text, but repeated rows share one. Empty input: no rows. All columns of the input are
-kept; they must be of types that can be ordered.
+their buckets differ by text. Rows repeated more than SAME_ROWS times go to several buckets by where they stand, so
+that no bucket outgrows a task; below that the result doesn't depend on the order of the input. Empty input: no rows.
+All columns of the input are kept, whatever their names; they must be of types that can be ordered.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import ensure_checkpoint_dir
+from corpusloom.llm.common import col, ensure_checkpoint_dir, free
+
+#: Rows equal in id and text that share a bucket, and how many such sets may be larger (their hashes go with the plan).
+SAME_ROWS, MOST_SAME = 10_000, 10_000
 
 
 def shard_of(key: Column, n_shards: int, seed: int) -> Column:
@@ -44,23 +48,45 @@ def _apart(spark: SparkSession, n: int) -> list[int]:
     return [keys[i] for i in range(n)]
 
 
+def _names(docs: DataFrame) -> list[str]:
+    """Of the written shard, bucket and place, and of the bucket's key: names the input doesn't hold."""
+    return free(docs.columns, "__shard", "__bucket", "__place", "__key")
+
+
+def _bucket(docs: DataFrame, id_col: str, text_col: str, per_shard: int, seed: int) -> DataFrame:
+    """docs with a column of the bucket in its shard (under the name _names gives). Rows that are equal in id and text beyond SAME_ROWS are told apart by where they stand."""
+    _, name, _, _ = _names(docs)
+    at = [F.lit(seed + 1), col(id_col), col(text_col)]
+    if per_shard > 1:
+        same = docs.groupBy(F.xxhash64(*at).alias("h")).count().filter(F.col("count") > SAME_ROWS).select("h")
+        hot = [r[0] for r in same.limit(MOST_SAME + 1).collect()]
+        if len(hot) > MOST_SAME:
+            raise ValueError(f"more than {MOST_SAME} rows are repeated over {SAME_ROWS} times each: make them distinct first")
+        if hot:
+            at.append(F.when(F.xxhash64(*at).isin(hot), F.monotonically_increasing_id()))
+    return docs.withColumn(name, F.pmod(F.xxhash64(*at), F.lit(per_shard)).cast("int"))
+
+
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 8, seed: int = 17, bucket_bytes: int = 64 << 20) -> None:
-    """Write whole rows as Parquet, one folder a shard (`__shard`), a file a bucket (`__bucket`), in the permuted order (`__place`, from 0 in each bucket)."""
-    total = docs.select(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1)).first()[0] or 0
+    """Write whole rows as Parquet, one folder a shard (`__shard`), a file a bucket (`__bucket`), in the permuted order (`__place`, from 0 in each bucket).
+
+    Where the input has columns of those names, the written ones get more underscores.
+    """
+    shard, bucket, place, key = _names(docs)
+    total = docs.select(F.sum(F.octet_length(F.coalesce(col(text_col), F.lit(""))) + 1)).first()[0] or 0
     per_shard = bucket_count(total, n_shards, bucket_bytes)
     n_buckets = n_shards * per_shard
-    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), id_col, text_col), F.lit(per_shard)).cast("int")
-    placed = docs.withColumns({"__shard": shard_of(F.col(id_col), n_shards, seed), "__bucket": bucket})
+    placed = _bucket(docs, id_col, text_col, per_shard, seed).withColumn(shard, shard_of(col(id_col), n_shards, seed))
     # a bucket is a task: its key hashes to a partition of its own
     keys = F.array(*map(F.lit, _apart(docs.sparkSession, n_buckets))).cast("array<int>")
-    scattered = placed.withColumn("__key", F.get(keys, F.col("__shard") * per_shard + F.col("__bucket"))).repartition(n_buckets, "__key")
+    scattered = placed.withColumn(key, F.get(keys, F.col(shard) * per_shard + F.col(bucket))).repartition(n_buckets, key)
     # rows sorted first: the permutation depends on the seed and the rows, not on arrival
-    held = scattered.groupBy("__key", "__shard", "__bucket").agg(F.sort_array(F.collect_list(F.struct(*docs.columns))).alias("__held"))
-    dealt = held.withColumn("__held", F.shuffle("__held", F.lit(seed))).select("__shard", "__bucket", F.posexplode("__held").alias("__place", "__row"))
+    held = scattered.groupBy(key, shard, bucket).agg(F.sort_array(F.collect_list(F.struct(*map(col, docs.columns)))).alias("held"))
+    dealt = held.withColumn("held", F.shuffle("held", F.lit(seed))).select(shard, bucket, F.posexplode("held").alias(place, "row"))
     (
-        dealt.select(*[F.col("__row")[c].alias(c) for c in docs.columns], "__bucket", "__place", "__shard")
-        .sortWithinPartitions("__shard", "__bucket", "__place")  # as it is; the writer would sort by shard alone
-        .write.partitionBy("__shard")
+        dealt.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], bucket, place, shard)
+        .sortWithinPartitions(shard, bucket, place)  # as it is; the writer would sort by shard alone
+        .write.partitionBy(shard)
         .parquet(path)
     )
 
@@ -72,16 +98,18 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ensure_checkpoint_dir(spark)
         path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/shards-{uuid.uuid4().hex}"
     write_shards(docs, path, id_col, text_col, n_shards, seed, bucket_bytes)
-    written = spark.read.schema(StructType([*docs.schema.fields, *(StructField(c, IntegerType()) for c in ("__bucket", "__place", "__shard"))])).parquet(path)
-    before = Window.partitionBy("__shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = written.groupBy("__shard", "__bucket").count().select("__shard", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    raw = F.coalesce(F.col(text_col), F.lit(""))
-    return written.join(F.broadcast(base), ["__shard", "__bucket"]).select(
-        F.col(id_col).alias("doc_id"),
+    shard, bucket, place, _ = _names(docs)
+    written = spark.read.schema(StructType([*docs.schema.fields, *(StructField(c, IntegerType()) for c in (bucket, place, shard))])).parquet(path)
+    before = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    base = free(written.columns, "base")[0]
+    starts = written.groupBy(shard, bucket).count().select(shard, bucket, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
+    raw = F.coalesce(col(text_col), F.lit(""))
+    return written.join(F.broadcast(starts), [shard, bucket]).select(
+        col(id_col).alias("doc_id"),
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        F.col("__shard").alias("shard"),
-        (F.col("__base") + F.col("__place")).cast("long").alias("slot"),
-        shard_of(F.col(id_col), n_shards + 1, seed).alias("grown_shard"),
+        F.col(shard).alias("shard"),
+        (F.col(base) + F.col(place)).cast("long").alias("slot"),
+        shard_of(col(id_col), n_shards + 1, seed).alias("grown_shard"),
     )
