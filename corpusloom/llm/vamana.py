@@ -1,9 +1,13 @@
 """Approximate nearest neighbours by inner product on robust-pruned directed graphs, one a shard.
 
-Rows are dealt to shards of bounded size by a hash of the id. A shard keeps its distinct vectors (a repeated vector
+Rows are dealt to shards of bounded memory by a hash of the id. A shard keeps its distinct vectors (a repeated vector
 is one node with its smallest ids), adds a coordinate that turns the largest inner product into the smallest distance,
 and builds its graph: greedy searches propose neighbours, relaxed distance pruning keeps diverse ones, and edges go
-both ways. Every query is searched with a beam in every shard, in blocks of queries; the shards' best are merged.
+both ways. Each graph is built once and written to the checkpoint folder. Every query is searched with a beam in every
+shard: the queries stream past a graph in blocks, a bounded number of them in a task; the shards' best are merged.
+
+Building is linear in the rows. Searching is queries times shards, as each shard is asked: with a fixed share of the
+rows as queries it grows with the square of the rows over the rows of a shard, so shards are as large as memory allows.
 
 Null and zero vectors and those with null or non-finite components take no part, nor do null ids. Vectors are
 compared with those of their own length. Ties go to the smaller id. Fewer candidates than k: all that are found.
@@ -12,13 +16,18 @@ Empty input: no rows.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import col, cut, small_batches
 
 DEGREE, BUILD_BEAM, ALPHA, BATCH = 32, 56, 1.2, 512
 
@@ -117,58 +126,92 @@ def _distinct(graph: np.ndarray) -> np.ndarray:
     return g
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's k best in this shard, its own id left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    nodes, first, inverse, count = np.unique(vectors, axis=0, return_index=True, return_inverse=True, return_counts=True)
-    inverse = inverse.ravel()
-    by = np.argsort(inverse, kind="stable")  # within a node by id
-    start = np.concatenate(([0], np.cumsum(count)))
-    exact = nodes.astype(np.float64)
-    length = np.einsum("ij,ij->i", exact, exact)
-    points = np.concatenate((exact, np.sqrt(np.maximum(length.max() - length, 0))[:, None]), axis=1).astype(np.float32)
-    graph, entry = build_graph(points, seed)
-    out = []
-    for at in range(0, len(query_ids), BATCH):
-        q, qi = queries[at : at + BATCH], query_ids[at : at + BATCH]
-        padded = np.concatenate((q, np.zeros((len(q), 1))), axis=1).astype(np.float32)
-        found, _ = beam_search(points, graph, entry, padded, min(beam, max(2, len(nodes))))
-        for i in range(len(q)):
-            node = found[i][found[i] >= 0]
-            score = (exact[node] * q[i].astype(np.float64)).sum(1)
-            held = [(v, s) for n, s in zip(node, score) for v in ids[by[start[n] : min(start[n + 1], start[n] + k + 1)]] if v != qi[i]]
-            held.sort(key=lambda x: (-x[1], x[0]))
-            out += [(qi[i], v, s) for v, s in held[:k]]
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    a, b, c = zip(*out)
-    return np.array(a), np.array(b), np.array(c)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, beam: int = 144, shard_rows: int = 8192, block_queries: int = 20_000) -> DataFrame:
+@dataclass
+class Shard:
+    """A built shard: ids ascending, its distinct vectors as nodes, and which rows each node stands for."""
+
+    ids: np.ndarray
+    by: np.ndarray  # rows, by node and within it by id
+    start: np.ndarray  # of each node's rows in `by`
+    nodes: np.ndarray
+    points: np.ndarray
+    graph: np.ndarray
+    entry: int
+
+    @staticmethod
+    def build(ids: np.ndarray, vectors: np.ndarray, seed: int) -> Shard:
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        nodes, inverse, count = np.unique(vectors, axis=0, return_inverse=True, return_counts=True)
+        exact = nodes.astype(np.float64)
+        length = np.einsum("ij,ij->i", exact, exact)
+        points = np.concatenate((exact, np.sqrt(np.maximum(length.max() - length, 0))[:, None]), axis=1).astype(np.float32)
+        graph, entry = build_graph(points, seed)
+        return Shard(ids, np.argsort(inverse.ravel(), kind="stable"), np.concatenate(([0], np.cumsum(count))), nodes, points, graph.astype(np.int32), entry)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> list[tuple[int, int, float]]:
+        """(query, id, score) of each query's k best here, its own id left out."""
+        out = []
+        for at in range(0, len(query_ids), BATCH):
+            q, qi = queries[at : at + BATCH], query_ids[at : at + BATCH].tolist()
+            padded = np.concatenate((q, np.zeros((len(q), 1))), axis=1).astype(np.float32)
+            found, _ = beam_search(self.points, self.graph, self.entry, padded, min(beam, max(2, len(self.nodes))))
+            for i in range(len(q)):
+                node = found[i][found[i] >= 0]
+                score = (self.nodes[node].astype(np.float64) * q[i].astype(np.float64)).sum(1)
+                best = np.argsort(-score, kind="stable")[: k + 1]  # nodes: as many rows at least
+                last = score[best[-1]]
+                held = []
+                for n, s in zip(node[score >= last].tolist(), score[score >= last].tolist()):
+                    rows = self.ids[self.by[self.start[n] : min(self.start[n + 1], self.start[n] + k + 1)]].tolist()
+                    held += [(-s, v) for v in rows if v != qi[i]]
+                held.sort()
+                out += [(qi[i], v, -s) for s, v in held[:k]]
+        return out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, beam: int = 144, shard_bytes: int = 24 << 20, block_queries: int = 512, task_queries: int = 50_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of `vectors` to each row of `queries`, without the row of its own id."""
 
     def usable(df: DataFrame) -> DataFrame:
         v = F.col("v")
         finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).withColumn("dim", F.size("v"))
+        return df.select(col(id_col).cast("long").alias("id"), col(vector_col).alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).withColumn("dim", F.size("v"))
 
     rows, asked = usable(vectors), usable(queries)
-    n_shards = max(1, -(-rows.count() // shard_rows))
-    n_blocks = max(1, -(-asked.count() // block_queries))
+    size = rows.agg(F.sum((F.col("dim") * 8 + 4 * DEGREE + 24).cast("long")), F.count("*")).first()
+    n_shards = max(1, -(-(size[0] or 0) // shard_bytes))
+    n_asked = asked.count()
+    n_tasks = max(1, -(-n_asked // task_queries))  # of a shard
+    n_blocks = max(1, -(-n_asked // (n_tasks * block_queries)))  # of a task
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = Shard.build(pdf.id.to_numpy(), np.stack(pdf.v.to_numpy()), int(pdf.shard.iloc[0]))
+        return pd.DataFrame({"dim": [int(pdf.dim.iloc[0])], "shard": [int(pdf.shard.iloc[0])], "payload": [pickle.dumps(shard, protocol=5)]})
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"dim": [int(pdf.dim.iloc[0])], "task": [int(pdf.task.iloc[0])], "payload": [pickle.dumps((pdf.id.to_numpy(), np.stack(pdf.v.to_numpy())), protocol=5)]})
+
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
+    built = cut(rows.withColumn("shard", deal(42, n_shards)).groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, payload binary"))
+    asked = asked.withColumns({"task": deal(1, n_tasks), "block": deal(2, n_blocks)})
+    blocks = cut(asked.groupBy("dim", "task", "block").applyInPandas(block, "dim int, task int, payload binary"))
     series = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")).withColumn("block", series(n_blocks))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(n_blocks)).cast("int")).withColumn("shard", series(n_shards))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        else:
-            found = search_shard(left.id.to_numpy(), np.stack(left.v.to_numpy()), right.id.to_numpy(), np.stack(right.v.to_numpy()), k, beam, int(left.shard.iloc[0]))
-        return pd.DataFrame({"query_id": found[0], "vec_id": found[1], "score": found[2]})
-
-    keys = ["dim", "shard", "block"]
-    best = cut(index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double"))
+    names = ("dim", "shard", "task", "kind", "payload")
+    met = built.withColumns({"kind": F.lit(0), "task": series(n_tasks)}).select(*names).unionByName(blocks.withColumns({"kind": F.lit(1), "shard": series(n_shards)}).select(*names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shard = None
+        for b in batches:
+            for *key, kind, payload in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == 0:
+                    at, shard = key, pickle.loads(payload)
+                elif key == at:  # else no row has that many components, or none here
+                    found = shard.search(*pickle.loads(payload), k, beam)
+                    q, v, s = zip(*found) if found else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    small_batches(rows, 16)  # a row is a graph or a block of queries
+    best = cut(met.repartition(F.xxhash64("dim", "shard", "task")).sortWithinPartitions("dim", "shard", "task", "kind").mapInArrow(run, "query_id long, vec_id long, score double"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
