@@ -316,12 +316,11 @@ def sequences(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     counts = cut(pieces.groupBy("chunk", "length").count())
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("chunk", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    # a task's starts by length as one array, of `capacity` numbers at most
-    table = base.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("m"), F.max("length").alias("top"))
-    table = table.select("chunk", F.transform(F.sequence(F.lit(1).cast("long"), "top"), lambda n: F.coalesce(F.col("m")[n], F.lit(0))).alias("bases"))
+    # a task's starts as two arrays, of `capacity` numbers at most
+    table = base.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("length", "base"))).alias("b")).select("chunk", F.col("b.length").alias("lengths"), F.col("b.base").alias("bases"))
     if counts.agg(F.count_distinct("chunk")).first()[0] <= SENT_TASKS:
         table = F.broadcast(table)
-    ranked = pieces.join(table, "chunk").withColumn("rank", F.get("bases", (F.col("length") - 1).cast("int")) + F.col("own"))
+    ranked = pieces.join(table, "chunk").withColumn("rank", F.get("bases", (F.array_position("lengths", F.col("length")) - 1).cast("int")) + F.col("own"))
     on = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_rank")) & (F.col("rank") < F.col("p_rank") + F.col("p_n"))
     j = F.col("rank") - F.col("p_rank")
     placed = ranked.join(F.broadcast(places), on).select(
