@@ -224,10 +224,12 @@ def test_transducer(monkeypatch):
     alphabet = " \n\t'srevlmdtaA1²  ,.é日 <|>x𝒳"
     texts = ["".join(R.choice(alphabet) for _ in range(R.randint(0, 40))) for _ in range(1500)]
     texts += ["a" * 3000, " " * 3000 + "x", "\n'll 'r", "A<|endoftext|>b<|endoftext|>", "'" * 600, "日本語" * 400, None, ""]
+    texts += ["".join(chr(R.choice([R.randrange(0x4E00, 0x9FFF), R.randrange(0x400, 0x500), 0x3000, 0x1F600 + R.randrange(50), 0x27, 0x660 + R.randrange(10), 0x2014])) for _ in range(R.randint(1, 60))) for _ in range(400)]
     want = [len(lib.encode(t or "", add_special_tokens=False).ids) for t in texts]
     assert machine.count(texts).tolist() == want
     monkeypatch.setattr(fst_tokens, "CHUNK", 7)
-    monkeypatch.setattr(fst_tokens, "SYMBOLS", 20)  # too few: the library counts the rest
+    monkeypatch.setattr(fst_tokens, "DIRECT", 20)  # the others are read by bytes
+    monkeypatch.setattr(fst_tokens, "NEIGHBOURS", 500)
     monkeypatch.setattr(fst_tokens, "TABLE_ENTRIES", 60_000)  # starts anew again and again
     machine = fst_tokens.Transducer(BYTES)
     assert [n for i in range(0, len(texts), 100) for n in machine.count(texts[i : i + 100]).tolist()] == want
