@@ -116,10 +116,21 @@ def build_graph(points: np.ndarray, seed: int, degree: int = DEGREE, beam: int =
                 d = ((points[new] - points[t][:, None]) ** 2).sum(2)
                 d[new < 0] = np.inf
                 new = np.take_along_axis(new, np.argpartition(d, 3 * degree, axis=1)[:, : 3 * degree], axis=1)
-            graph[t] = robust_prune(points, t, np.concatenate((graph[t], new), axis=1), degree, alpha)
+            graph[t] = _joined(points, t, np.concatenate((graph[t], new), axis=1), degree, alpha)
     return graph, entry
 
 
+def _joined(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Each node's candidates where they find room, else pruned."""
+    c = _distinct(np.where(candidates == nodes[:, None], -1, candidates))
+    c = np.sort(c, axis=1)[:, ::-1]
+    over = np.flatnonzero(c[:, degree] >= 0) if c.shape[1] > degree else np.empty(0, np.int64)
+    out = c[:, :degree].copy()
+    if len(over):
+        out[over] = robust_prune(points, nodes[over], c[over], degree, alpha)
+    return out
+
+
 def _distinct(graph: np.ndarray) -> np.ndarray:
     g = np.sort(graph, axis=1)[:, ::-1].copy()
     g[:, 1:][g[:, 1:] == g[:, :-1]] = -1
@@ -170,7 +181,7 @@ class Shard:
         return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, beam: int = 144, shard_bytes: int = 24 << 20, block_queries: int = 512, task_queries: int = 50_000) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, beam: int = 224, shard_bytes: int = 24 << 20, block_queries: int = 512, task_queries: int = 50_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of `vectors` to each row of `queries`, without the row of its own id."""
 
     def usable(df: DataFrame) -> DataFrame:
