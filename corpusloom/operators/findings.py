@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.normalize import stable_hash
+from corpusloom.plans.session import checkpoints
+from corpusloom.sources import ooxml
 
 
 def unify(streams: list[DataFrame]) -> DataFrame:
@@ -24,8 +26,16 @@ def unify(streams: list[DataFrame]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], prefix: str = "U", digits: int = 5, partition: list[str] | None = None) -> DataFrame:
-    """Ids such as U00001 in order, within each partition. A report has the partitions of its files; only there is one task's order needed."""
-    return rows.withColumn("id", F.format_string(f"{prefix}%0{digits}d", F.row_number().over(Window.partitionBy(*(partition or [])).orderBy(*order))))
+    """Ids such as U00001 in order, within each partition; without one, over all rows, which are sorted by ranges."""
+    if not partition:
+        checkpoints(rows.sparkSession)
+        sorted_rows = rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+        part = F.shiftright("__at", 33)
+        before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+        base = sorted_rows.groupBy(part.alias("p")).count().select("p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))  # a row a partition
+        number = F.col("__base") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+        return sorted_rows.join(F.broadcast(base), part == F.col("p")).withColumn("id", F.format_string(f"{prefix}%0{digits}d", number)).drop("__at", "__base", "p")
+    return rows.withColumn("id", F.format_string(f"{prefix}%0{digits}d", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))))
 
 
 def capped(rows: DataFrame, by: list[str], order: list[str], most: int = 300) -> DataFrame:
@@ -43,14 +53,22 @@ def audit_status(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def keep_best(rows: DataFrame, key: str, order: list) -> DataFrame:
-    """One row per key, the first in order."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
+    """One row per key, the first in order: a partial aggregate, whatever share of the rows one key has."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("best")).select("best.*")
 
 
 #: What a gate counts in an HTML or XML part.
 METRICS = {"tags": "<[a-zA-Z]", "bold": "<b>|<b ", "scripts": "<script", "styles": "style=", "comments": "<!--", "links": "<a ", "insertions": "<ins[ >]", "deletions": "<del[ >]"}
 
 
+def package_gate(files: DataFrame, stage: str) -> DataFrame:
+    """files(path, content) -> stage, file, the thirteen metrics, status: of each package and, with file null, in total. FAIL where any metric isn't 0 or the package can't be opened."""
+    counted = ooxml.gates(files)
+    out = counted.rollup("file").agg(*[F.sum(m).alias(m) for m in ooxml.GATE], F.count_if(~F.col("ok")).alias("unread"))
+    bad = reduce(lambda a, b: a | b, [F.col(m) > 0 for m in (*ooxml.GATE, "unread")])
+    return out.select(F.lit(stage).alias("stage"), "file", *ooxml.GATE, F.when(bad, "FAIL").otherwise("PASS").alias("status"))
+
+
 def gate(parts: DataFrame, file: str, content: str, hard: tuple[str, ...] = ("scripts", "comments", "insertions", "deletions")) -> DataFrame:
     """Metrics per file and, with file null, in total; FAIL where a hard metric isn't 0."""
     counted = parts.select(F.col(file).alias("file"), *[F.regexp_count(F.coalesce(F.col(content), F.lit("")), F.lit(p)).cast("long").alias(m) for m, p in METRICS.items()])

@@ -48,8 +48,7 @@ def caption_places(items: DataFrame) -> DataFrame:
         near = structure.nearest(o, c.filter(F.col("of") == of), ["file"])
         missing = o.join(near.select("file", "idx"), ["file", "idx"], "left_anti")
         out += [_finding(missing, f"{of}-caption-missing", "warning", F.lit("")), _finding(near.filter("distance > 2"), f"{of}-caption-far", "info", F.col("distance"))]
-        usual = structure.majority(near, ["file"], "side", "idx").filter("votes >= 2").select("file", F.col("side").alias("usual"))
-        out.append(_finding(near.join(usual, "file").filter("side <> usual"), f"{of}-caption-side-inconsistent", "info", F.col("side")))
+        out.append(_finding(structure.off_side(near, "file"), f"{of}-caption-side-inconsistent", "info", F.col("side")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -83,16 +82,22 @@ def fields(marks: DataFrame, items: DataFrame) -> DataFrame:
     link = marks.filter("kind = 'link' and name is not null").join(names, ["file", "name"], "left_anti")
     ref = marks.filter("kind = 'field'").withColumn("name", F.regexp_extract("name", to_java(structure.FIELD_REF, True), 1)).filter("name <> ''").join(names, ["file", "name"], "left_anti")
     broken = items.filter(F.col("text").rlike(to_java(structure.BROKEN_FIELD, True)))
+    toc = marks.filter("kind = 'field'").filter(F.upper("name").contains("TOC")).groupBy("file").agg(F.min("idx").alias("idx"))
+    bare = toc.join(_entries(items).select("file").distinct(), "file", "left_anti")
     return reduce(DataFrame.unionByName, [
         _finding(twice, "bookmark-duplicate-name", "warning", F.col("name")), _finding(half, F.concat(F.lit("bookmark-"), F.col("issue")), "warning", F.col("id"), None),
         _finding(link, "hyperlink-missing-anchor", "warning", F.col("name")), _finding(ref, "field-ref-missing-bookmark", "warning", F.col("name")), _finding(broken, "field-broken-visible-result", "critical", F.col("text")),
+        _finding(bare, "toc-field-without-parsed-entries", "info", F.lit("")),
     ])
 
 
+def _entries(items: DataFrame) -> DataFrame:
+    return items.filter(F.lower(F.coalesce("style_name", F.lit(""))).rlike(r"\btoc|оглавлен|содержан") & (F.trim("text") != ""))
+
+
 def contents(items: DataFrame) -> DataFrame:
     """Headings that the table of contents doesn't name, its entries that no heading has, and a contents field without entries."""
-    toc = items.filter(F.lower(F.coalesce("style_name", F.lit(""))).rlike(r"\btoc|оглавлен|содержан") & (F.trim("text") != ""))
-    entry = toc.withColumn("key", norm_key(F.regexp_replace("text", r"(?U)[\s.…]*\d+\s*$", "")))
+    entry = _entries(items).withColumn("key", norm_key(F.regexp_replace("text", r"(?U)[\s.…]*\d+\s*$", "")))
     heads = items.filter(F.lower(F.coalesce("style_name", F.lit(""))).rlike("heading|заголовок") & (F.trim("text") != "")).withColumn("key", norm_key(F.col("text")))
     blob = entry.groupBy("file").agg(F.array_join(F.collect_list("key"), "\n").alias("blob"))
     missing = heads.join(blob, "file").filter(~F.col("blob").contains(F.col("key")))
@@ -121,15 +126,53 @@ def tables(grids: DataFrame, page_cm: float = 17.0) -> DataFrame:
     ])
 
 
+WIDE_CM = 20.0
+
+
+def layout(sections: DataFrame) -> DataFrame:
+    """Sections that are turned or have other margins without a wide table, other headers or footers, or numbers that start anew."""
+    s = sections.withColumn("idx", F.col("section"))
+    narrow = F.col("widest") <= WIDE_CM
+    usual = structure.majority(s, ["file"], "margins", "section").select("file", F.col("margins").alias("usual"))
+    out = [
+        _finding(s.filter(F.col("landscape") & narrow), "landscape-section-without-wide-table", "warning", F.col("widest")),
+        _finding(s.join(usual, "file").filter(narrow & (F.col("margins") != F.col("usual"))), "section-margin-profile-differs", "warning", F.array_join(F.col("margins").cast("array<string>"), " ")),
+    ]
+    starts = F.when(F.col("page_start").isNull(), None).when((F.col("section") == 0) & (F.col("page_start") != "1"), "page-number-first-section-start").when(F.col("section") > 0, "page-number-section-restart")
+    out.append(_finding(s.filter(starts.isNotNull()), starts, "warning", F.col("page_start")))
+    for kind in ("header", "footer"):
+        told = s.filter(F.col(kind) != "")
+        common = structure.majority(told, ["file"], kind, "section").select("file", F.col(kind).alias("usual"))
+        other = told.join(common, "file").filter(F.col(kind) != F.col("usual"))
+        # those after a section with wide tables too, up to the first without
+        w = Window.partitionBy("file").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+        other = other.withColumn("__ended", F.coalesce(F.bool_or(narrow).over(w), F.lit(False))).filter("not __ended")
+        out.append(_finding(other, "header-footer-profile-differs", "warning", F.col(kind)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def table_looks(formats: DataFrame) -> DataFrame:
+    """Tables of fixed row heights, mixed borders, cell margins, fonts or sizes, or that couldn't be read."""
+    put = lambda on, name, severity, evidence: _finding(formats.filter(on), name, severity, evidence, "table_index")
+    fixed = F.col("exact_rows") > 0
+    return reduce(DataFrame.unionByName, [
+        put(fixed & (F.col("no_wrap") > 0), "table-fixed-row-height", "critical", F.col("exact_rows")), put(fixed & (F.col("no_wrap") == 0), "table-fixed-row-height", "warning", F.col("exact_rows")),
+        put(F.col("borders") > 2, "table-border-mixed", "warning", F.col("borders")), put(F.col("margins") > 2, "table-cell-margins-mixed", "warning", F.col("margins")),
+        put((F.col("fonts") > 3) | (F.col("size_range") >= 3), "table-fonts-mixed", "warning", F.col("fonts")), put(F.col("failed").isNotNull(), "table-model-failed", "warning", F.col("failed")),
+    ])
+
+
 CHECKS: dict[str, Callable] = {"captions": captions, "caption_places": caption_places, "spacing": spacing, "lists": lists, "contents": contents}
 
 
-def inspect(items: DataFrame, marks: DataFrame | None = None, grids: DataFrame | None = None, skip: tuple[str, ...] = (), most: int = 300) -> DataFrame:
+def inspect(items: DataFrame, marks: DataFrame | None = None, grids: DataFrame | None = None, skip: tuple[str, ...] = (), most: int = 300, sections: DataFrame | None = None, formats: DataFrame | None = None) -> DataFrame:
     """All checks but the skipped; files that couldn't be opened are critical findings; beyond `most` a file a row says so (the report's limit)."""
     good = items.filter("ok")
     out = [f(good) for name, f in CHECKS.items() if name not in skip]
     out += [fields(marks.filter("ok"), good)] if marks is not None and "fields" not in skip else []
     out += [tables(grids.filter("ok"))] if grids is not None and "tables" not in skip else []
+    out += [layout(sections.filter("ok"))] if sections is not None and "layout" not in skip else []
+    out += [table_looks(formats.filter("ok"))] if formats is not None and "tables" not in skip else []
     out.append(_finding(items.filter("not ok").dropDuplicates(["file"]), "docx-open-failed", "critical", F.col("error"), None))
     return capped(reduce(DataFrame.unionByName, out), ["file"], ["class_id", "idx"], most)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions.normalize import norm_space
 from corpusloom.functions.patterns import to_java
 from corpusloom.operators.structure import order
 
@@ -22,16 +23,24 @@ KINDS = (
     ("list-number", r"^\s*(?:\d+|[IVXLCDM]+)[\.)]\s+\S"),
     ("list-letter", r"^\s*[A-Za-zА-Яа-яЁё][\.)]\s+\S"),
 )
+# Fixed value: what is a measured value and no heading.
 VALUE = r"^\s*[\d\s.,]+(?:г\.?|год(?:а|ов)?|кв\.?\s*м|км|тонн(?:ы)?|тыс\.?|млн|мест(?:а)?|человек|объект(?:а|ов)?)\s*$"
 
 
 def kind(text: Column, style_name: Column | None = None) -> Column:
     """The kind of a paragraph, null for plain text; lines in a table of contents are left alone; a measured value isn't a heading."""
     value = text.rlike(to_java(VALUE, True))
+    # a chapter's or a number's rest must be long enough and hold a letter
+    named = {"chapter": 1, "numbered-heading": 2}
+    long_tail = lambda p, group: (F.length(norm_space(F.regexp_extract(text, to_java(p, True), group))) >= 8) & F.regexp_extract(text, to_java(p, True), group).rlike("[A-Za-zА-Яа-яЁё]")
     out = F.when(F.lower(style_name).contains("toc"), None) if style_name is not None else F.when(text.isNull(), None)
     for name, p in KINDS:
         hit = text.rlike(to_java(p, True))
-        out = out.when(hit & ~value if name == "numbered-heading" else hit, name)
+        if name == "chapter":
+            hit = hit & long_tail(p, named[name])
+        if name == "numbered-heading":  # a number with less isn't anything else either
+            out = out.when(hit & (value | ~long_tail(p, named[name])), F.lit(None))
+        out = out.when(hit, name)
     return out
 
 

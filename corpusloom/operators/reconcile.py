@@ -62,6 +62,12 @@ def diff_cells(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> DataF
     return j.filter(~F.col("value_a").eqNullSafe(F.col("value_b")))
 
 
+def sheet_sets(a: DataFrame, b: DataFrame, sheet: str = "sheet") -> DataFrame:
+    """sheet, side: `both`, `only_a` or `only_b`."""
+    x, y = a.select(sheet).distinct().withColumn("a", F.lit(True)), b.select(sheet).distinct().withColumn("b", F.lit(True))
+    return x.join(y, sheet, "full_outer").select(sheet, F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").otherwise("both").alias("side"))
+
+
 def drop_empty_rows(cells: DataFrame, by: list[str]) -> DataFrame:
     """Rows with some meaningful cell, renumbered without gaps; zero and false are meaningful."""
     rows = cells.groupBy(*by, "row").agg(F.bool_or(F.coalesce(F.trim("value") != "", F.lit(False))).alias("full"), F.count("*").alias("cells"))

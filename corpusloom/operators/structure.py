@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.patterns import to_java
+from corpusloom.plans.session import checkpoints
 
 # What headings, captions and list items look like.
 DOTTED_HEADING = r"^\s*(\d+\.\d+(?:\.\d+){0,4})\.?\s*(\S.+)$"
@@ -38,7 +39,7 @@ def runs(items: DataFrame, member: Column, least: int = 1, by: str = "doc") -> D
 def collapse(items: DataFrame, removable: Column, by: str = "doc") -> DataFrame:
     """Items without the removable ones that follow a removable one."""
     before = F.lag("__r").over(order(by))
-    return items.withColumn("__r", removable).filter("true").withColumn("__drop", F.col("__r") & F.coalesce(before, F.lit(False))).filter("not __drop").drop("__r", "__drop")
+    return items.withColumn("__r", removable).withColumn("__drop", F.col("__r") & F.coalesce(before, F.lit(False))).filter("not __drop").drop("__r", "__drop")
 
 
 def heading(text: Column, styled: Column | None = None) -> Column:
@@ -149,12 +150,27 @@ def unpaired(starts: DataFrame, ends: DataFrame, on: list[str]) -> DataFrame:
     return s.join(e, on, "full_outer").filter("s is null or e is null").select(*on, F.when(F.col("e").isNull(), "start-without-end").otherwise("end-without-start").alias("issue"))
 
 
-def closure(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """All ids reachable from nodes(id) over edges(src, dst), themselves included; depth is bounded as styles' chains are."""
-    seen = front = nodes.select("id").distinct()
-    for _ in range(most):
+def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """All ids reachable from nodes(id) over edges(src, dst), themselves included: a round for each step of the longest chain, whatever its length."""
+    checkpoints(nodes.sparkSession)
+    seen = front = nodes.select("id").distinct().checkpoint()
+    while not front.isEmpty():
         front = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").checkpoint()
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(front).checkpoint()
     return seen
+
+
+def off_side(near: DataFrame, by: str) -> DataFrame:
+    """near(by, idx, side) that lie on another side than most of their group (two votes at least; the first seen on ties)."""
+    usual = majority(near, [by], "side", "idx").filter("votes >= 2").select(by, F.col("side").alias("usual"))
+    return near.join(usual, by).filter("side <> usual")
+
+
+def numbered_sections(items: DataFrame, top: str = r"^\s*\d+\.?\s+\p{Lu}") -> DataFrame:
+    """items(doc, idx, text, is_heading) -> doc, section (from 1), first, n, basis: by heading styles where there are any, else by two or more numbered lines, else one section."""
+    w, doc = order(), Window.partitionBy("doc")
+    rows = items.withColumn("__top", F.col("text").rlike(top)).withColumns({"__heads": F.count_if("is_heading").over(doc), "__tops": F.count_if("__top").over(doc)})
+    basis = F.when(F.col("__heads") > 0, "heading-style").when(F.col("__tops") >= 2, "numbered-text").otherwise("single-section")
+    starts = F.when(F.col("__heads") > 0, F.col("is_heading")).when(F.col("__tops") >= 2, F.col("__top")).otherwise(F.lit(False))
+    rows = rows.withColumns({"basis": basis, "__new": (starts | (F.row_number().over(w) == 1)).cast("int")}).withColumn("section", F.sum("__new").over(w))
+    return rows.groupBy("doc", "section", "basis").agg(F.min("idx").alias("first"), F.count("*").alias("n"))

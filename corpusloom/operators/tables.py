@@ -22,6 +22,10 @@ def looks_record_number(s: Column) -> Column:
     return F.coalesce(s, F.lit("")).rlike(r"^\s*\d+(?:\.\d+)*\.?\s*$")
 
 
+def looks_index(s: Column) -> Column:
+    return F.replace(norm_space(s), F.lit(" "), F.lit("")).rlike(r"^\d+(?:[.\-]\d+)*\.?$")
+
+
 def header_rows(grid: Column, most: int = 4) -> Column:
     """Header rows among the first four: up to a blank row, one that opens with a number, or one half numeric."""
     def is_body(row: Column) -> Column:
@@ -43,7 +47,7 @@ def preheader_rows(grid: Column, headers: Column) -> Column:
 
 
 def section_row(row: Column) -> Column:
-    return (F.trim(F.coalesce(F.get(row, F.lit(0)), F.lit(""))) != "") & (F.size(F.filter(F.slice(row, 2, 10_000), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")) == 0)
+    return (F.trim(F.coalesce(F.get(row, F.lit(0)), F.lit(""))) != "") & (F.size(F.filter(F.slice(row, 2, F.greatest(F.size(row), F.lit(1))), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")) == 0)
 
 
 def dense_reasons(width: Column, data_rows: Column, chars: Column, filled: Column, columns_per_cm: Column) -> Column:
@@ -120,6 +124,25 @@ def group_tables(tables: list[dict], mode: str = "safe") -> list[list[int]]:
     return [[t["table_index"] for t in g] for g in groups]
 
 
+def grouped_tables(tables: DataFrame, mode: str = "safe") -> DataFrame:
+    """tables(doc, table_index, width, rows) -> doc, first, members: group_tables of each document."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+        return [(key[0], g[0], g) for g in group_tables([{**r, "rows": [list(x) for x in r["rows"]]} for r in pdf.to_dict("records")], mode)]
+
+    return apply_sorted(tables, ["doc"], ["table_index"], run, f"doc {tables.schema['doc'].dataType.simpleString()}, first int, members array<int>")
+
+
+def running_tables(tables: DataFrame, separate: bool = False) -> DataFrame:
+    """tables(doc, table_index, width, style, total, text_before, rows) -> doc, first, members, rows, dropped: stitch_running of each document."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+        got = stitch_running([{**r, "rows": [list(x) for x in r["rows"]]} for r in pdf.to_dict("records")], separate=separate)
+        return [(key[0], g["members"][0], g["members"], g["rows"], g["dropped"]) for g in got]
+
+    return apply_sorted(tables, ["doc"], ["table_index"], run, f"doc {tables.schema['doc'].dataType.simpleString()}, first int, members array<int>, rows array<array<string>>, dropped int")
+
+
 def markdown_rows(lines: DataFrame) -> DataFrame:
     """lines(doc, idx, text) -> rows of pipe tables: doc, table, row (0 is the header), cells. A table is a run of piped
     lines whose second one is the separator; rows are padded or cut to the header's width."""
@@ -141,7 +164,7 @@ def markdown_outline(lines: DataFrame) -> DataFrame:
     """Pipe tables with their enclosing second- and third-level headings: doc, start, end, n_rows, h2, h3."""
     w = Window.partitionBy("doc").orderBy("idx")
     text = norm_space(F.col("text"))
-    h2, h3 = F.when(text.rlike("^## "), F.substring(text, 4, 1000)), F.when(text.rlike("^### "), F.substring(text, 5, 1000))
+    h2, h3 = F.when(text.rlike("^## "), F.substr(text, F.lit(4))), F.when(text.rlike("^### "), F.substr(text, F.lit(5)))
     rows = lines.withColumns({"h2": F.last(h2, ignorenulls=True).over(w), "__h3": F.last(F.when(text.rlike("^###? "), F.coalesce(h3, F.lit(""))), ignorenulls=True).over(w)})
     rows = rows.withColumns({"p": text.rlike(r"^\|.*\|$"), "r": F.row_number().over(w)}).filter("p").withColumn("island", F.col("r") - F.row_number().over(w))
     return rows.groupBy("doc", "island").agg(F.min("idx").alias("start"), F.max("idx").alias("end"), F.count("*").alias("n_rows"), F.min_by("h2", "idx").alias("h2"), F.min_by(F.nullif(F.col("__h3"), F.lit("")), "idx").alias("h3")).drop("island")

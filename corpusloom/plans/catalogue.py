@@ -2,41 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import normalize as N
 from corpusloom.operators import chunks, findings, hygiene, reconcile, similarity, structure, tables
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from corpusloom.plans import office, texts  # noqa: F401  register their queries
+from corpusloom.plans.registered import oracle_sql, queries, query, read  # noqa: F401
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.normal_lines(read(spark, sf_dir, "documents"))
@@ -180,13 +153,6 @@ def near_dupe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("a", "b", "similarity", "structural", "reliable", "check", "doubtful", similarity.recommendation(F.col("similarity"), F.col("structural"), F.col("reliable"), F.col("check"), F.col("doubtful"), F.col("rows")).alias("recommendation"))
 
 
-@query()
-def document_block_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against its copy without the lines that 5 divides: changed blocks by their keys."""
-    rows = lines(spark, sf_dir).select("doc", F.col("idx").alias("ordinal"), F.sha2(N.norm_space(F.col("text")).cast("binary"), 256).alias("key"))
-    return similarity.sequence_diff(rows, rows.filter("ordinal % 5 <> 0"), ["doc"])
-
-
 @query("""WITH t AS (SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) AS z, c_nationkey AS n FROM customer)
 SELECT c_custkey, CASE WHEN z || n = 'A7' THEN [z || n] ELSE [z || n, 'A7'] END AS codes FROM t""")
 def zone_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,11 +177,6 @@ def hygiene_scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty(spark, sf_dir).select("doc_id", *[c[k].alias(k) for k in ("double_space", "space_before_punct", "soft_hyphen")])
 
 
-@query()
-def hygiene_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hygiene.scan(dirty(spark, sf_dir), check_dot=True)
-
-
 @query(f"WITH {DIRTY}, one AS (SELECT doc_id, regexp_replace(text, ' {{2,}}', ' ', 'g') AS t FROM dirty) SELECT doc_id, sha256(regexp_replace(t, '(^|[^,;: ]) +([,.;:!?])', '\\1\\2', 'g')) AS fixed FROM one")
 def hygiene_fix_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.regexp_replace(F.regexp_replace("text", hygiene.DOUBLE_SPACE, " "), hygiene.SPACE_BEFORE_PUNCT, "$1")
@@ -239,12 +200,6 @@ def norm_key_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).agg(F.count("*").alias("n"), F.count_distinct(N.norm_key(F.col("text"))).alias("keys"))
 
 
-@query()
-def comma_lowercase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", hygiene.lowercase_after_comma(F.replace("text", F.lit(". "), F.lit(", "))).alias("after"))
-    return d.select("doc_id", "after")
-
-
 @query("SELECT doc_id, len(text)::INT AS n, substr(text, 1, 100) AS head, substr(sha1(substr(text, 1, 100)), 1, 12) AS context_hash FROM documents")
 def context_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.substring("text", 1, 100)
@@ -574,13 +529,6 @@ def rule_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.plan(_measures(spark, sf_dir), book, rules.LISTS).drop("context")
 
 
-@query()
-def deep_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusloom.plans import pipelines
-
-    return pipelines.deep_hygiene(_measures(spark, sf_dir).select("file", "node", "text")).select("owner", "file", "node", "class_id", "status", "overlap_group")
-
-
 @query(f"""WITH {LINES} SELECT doc, idx, CASE idx % 6 WHEN 0 THEN 'table-caption' WHEN 1 THEN 'numbered-heading' WHEN 2 THEN 'list-dash' WHEN 3 THEN 'list-number' WHEN 4 THEN 'chapter' END AS kind FROM lines WHERE regexp_matches(text, '^[A-Z][a-z]{{2,}}')""")
 def paragraph_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.operators import paragraphs
@@ -616,15 +564,6 @@ def page_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.page_restarts(s).select("doc", "section", "class_id")
 
 
-@query()
-def inspect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The structural checks over all documents, their lines as paragraphs."""
-    from corpusloom.operators import inspector
-
-    items = lines(spark, sf_dir).select(F.col("doc").alias("file"), "idx", F.lit("paragraph").alias("kind"), "text", F.lit("").alias("style_name"), F.lit(None).cast("string").alias("num_id"), F.lit(0).alias("drawings"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
-    return inspector.inspect(items)
-
-
 @query("""SELECT c_custkey, lower('г. ' || c_mktsegment) AS locality, 'ул.' AS street_type, lower(c_mktsegment) AS street, CAST(c_nationkey AS VARCHAR) AS house, 'к' || (c_custkey % 9 + 1) AS mods FROM customer""")
 def address_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.operators import address

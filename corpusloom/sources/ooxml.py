@@ -204,6 +204,99 @@ def marks(files: DataFrame) -> DataFrame:
     return _rows(files, "idx int, kind string, id string, name string", read)
 
 
+#: What a gate counts in a package's content parts, and in its styles.
+GATE = ("nonblack", "style_nonblack", "highlight", "style_highlight", "shading", "style_shading", "comments", "strike", "style_strike", "ins", "del", "moveFrom", "moveTo")
+STYLE_PARTS = ("word/styles.xml", "word/stylesWithEffects.xml", "word/numbering.xml")
+
+
+def _val(x: ET.Element, name: str = "val") -> str | None:
+    v = x.get(f"{W}{name}")
+    return v.strip().lower() if v is not None else None
+
+
+def switched_on(x: ET.Element | None) -> bool:
+    return x is not None and _val(x) not in ("0", "false", "off", "none")
+
+
+def gate_metrics(parts: dict[str, bytes]) -> dict[str, int]:
+    """Colours that aren't black, highlights, shadings and strikes in the content and in the styles, comment parts, tracked changes."""
+    n = dict.fromkeys(GATE, 0)
+    for prefix, names in (("", content_parts(parts)), ("style_", [p for p in STYLE_PARTS if p in parts])):
+        for name in names:
+            root = ET.fromstring(parts[name])
+            for props in root.iter(f"{W}rPr"):
+                for c in props.findall(f"{W}color"):
+                    v, theme = _val(c), prefix and _val(c, "themeColor")
+                    n[prefix + "nonblack"] += bool(theme and v != "000000" or v and v not in ("000000", "auto"))
+                n[prefix + "strike"] += any(switched_on(x) for t in ("strike", "dstrike") for x in props.findall(f"{W}{t}"))
+            n[prefix + "highlight"] += sum(_val(x) != "none" for x in root.iter(f"{W}highlight"))
+            n[prefix + "shading"] += sum((_val(x, "fill") or "auto") not in ("auto", "ffffff") for x in root.iter(f"{W}shd"))
+            if not prefix:
+                for t in ("ins", "del", "moveFrom", "moveTo"):
+                    n[t] += sum(1 for _ in root.iter(f"{W}{t}"))
+    n["comments"] = int(any(re.fullmatch(r"word/comments\w*\.xml", p) for p in parts))
+    return n
+
+
+def gates(files: DataFrame) -> DataFrame:
+    """The gate's thirteen metrics of each package."""
+    return _rows(files, ", ".join(f"{g} bigint" for g in GATE), lambda p: iter([tuple(gate_metrics(p).values())]))
+
+
+def sections(files: DataFrame) -> DataFrame:
+    """A document's sections: section (from 0), landscape, margins in millimetres (top, right, bottom, left), page_start, header, footer, widest table in cm."""
+    mm = lambda v: round(int(v or 0) / 1440 * 25.4)
+
+    def read(parts: dict[str, bytes]) -> Iterator[tuple]:
+        rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(parts["word/_rels/document.xml.rels"])} if "word/_rels/document.xml.rels" in parts else {}
+        at, widest, last = 0, 0.0, {"header": "", "footer": ""}
+
+        def told(sect: ET.Element) -> tuple:
+            size, mar, num = (sect.find(f"{W}{t}") for t in ("pgSz", "pgMar", "pgNumType"))
+            w, h = (int(size.get(f"{W}{t}") or 0) if size is not None else 0 for t in "wh")
+            for kind in last:  # a section without its own goes on with the one before
+                for ref in sect.findall(f"{W}{kind}Reference"):
+                    name = f"word/{rels.get(ref.get(f'{R}id'), '')}"
+                    if ref.get(f"{W}type", "default") == "default" and name in parts:
+                        last[kind] = " ".join(text_of(ET.fromstring(parts[name])).split())
+            return at, w > h, [mm(mar.get(f"{W}{t}")) if mar is not None else 0 for t in ("top", "right", "bottom", "left")], num.get(f"{W}start") if num is not None else None, last["header"], last["footer"], round(widest, 2)
+
+        for x in _body(parts):
+            if x.tag == f"{W}tbl":
+                widest = max(widest, sum(int(g.get(f"{W}w") or 0) for g in x.findall(f"{W}tblGrid/{W}gridCol")) / 1440 * 2.54)
+            sect = x if x.tag == f"{W}sectPr" else x.find(f"{W}pPr/{W}sectPr")
+            if sect is not None:
+                yield told(sect)
+                at, widest = at + 1, 0.0
+
+    return _rows(files, "section int, landscape boolean, margins array<int>, page_start string, header string, footer string, widest double", read)
+
+
+def table_formats(files: DataFrame) -> DataFrame:
+    """Each table's direct formatting: exact row heights, no-wrap cells, kinds of borders and of cell margins, fonts, range of sizes in points, and whether its grid could be read."""
+
+    def read(parts: dict[str, bytes]) -> Iterator[tuple]:
+        name = lambda x: x.tag.rsplit("}", 1)[-1]
+        for i, t in enumerate(x for x in _body(parts) if x.tag == f"{W}tbl"):
+            exact = sum(_val(h, "hRule") == "exact" for h in t.iter(f"{W}trHeight"))
+            borders = {(x.get(f"{W}val") or "none", x.get(f"{W}sz") or "", (x.get(f"{W}color") or "").lower()) for k in ("tblBorders", "tcBorders") for b in t.iter(f"{W}{k}") for x in b if name(x) in ("top", "left", "bottom", "right", "insideH", "insideV", "start", "end")}
+            margins = {tuple(sorted((name(x), x.get(f"{W}w") or "") for x in m if name(x) in ("top", "bottom", "left", "right", "start", "end"))) for k in ("tblCellMar", "tcMar") for m in t.iter(f"{W}{k}")} - {()}
+            fonts = {f.get(f"{W}{k}") for f in t.iter(f"{W}rFonts") for k in ("ascii", "hAnsi", "cs", "eastAsia")} - {None, ""}
+            sizes = []
+            for props in t.iter(f"{W}rPr"):
+                s = props.find(f"{W}sz") if props.find(f"{W}sz") is not None else props.find(f"{W}szCs")
+                if s is not None and re.fullmatch(r"\d+(?:\.\d+)?", s.get(f"{W}val") or ""):
+                    sizes.append(float(s.get(f"{W}val")) / 2)
+            try:
+                table_grid(t)
+                failed = None
+            except ValueError as e:
+                failed = str(e)
+            yield i, exact, sum(1 for _ in t.iter(f"{W}noWrap")), len(borders), len(margins), len(fonts), max(sizes) - min(sizes) if sizes else 0.0, failed
+
+    return _rows(files, "table_index int, exact_rows int, no_wrap int, borders int, margins int, fonts int, size_range double, failed string", read)
+
+
 def media(files: DataFrame) -> DataFrame:
     def read(parts: dict[str, bytes]) -> Iterator[tuple]:
         for i, n in enumerate(sorted(n for n in parts if re.match(r"(?:word|ppt|xl)/media/", n)), 1):

@@ -121,7 +121,8 @@ def tidy(root: ET.Element) -> int:
 def collapse_blank_paragraphs(root: ET.Element) -> int:
     """Of neighbouring paragraphs without any content the first stays."""
     body, n, before = root.find(W + "body"), 0, False
-    blocked = {W + t for t in ("drawing", "pict", "object", "br", "sectPr", "bookmarkStart", "bookmarkEnd", "fldChar", "fldSimple", "tab", "footnoteReference", "endnoteReference")}
+    # What a blank paragraph may hold that keeps it.
+    blocked = {W + t for t in ("sectPr", "br", "lastRenderedPageBreak", "drawing", "pict", "bookmarkStart", "bookmarkEnd", "fldChar", "instrText", "hyperlink", "commentRangeStart", "commentRangeEnd")}
     for p in list(body if body is not None else ()):
         blank = p.tag == W + "p" and not text_of(p).strip() and not any(x.tag in blocked for x in p.iter())
         if blank and before:
