@@ -19,6 +19,8 @@ def unify(streams: list[DataFrame]) -> DataFrame:
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), streams)
     target = F.concat_ws("|", "file", F.col("node").cast("string"), F.col("start").cast("string"), F.col("end").cast("string"))
     rows = rows.withColumns({"target": stable_hash(target), "issue": stable_hash(F.concat_ws("|", target, "class_id", F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))), "key": F.concat_ws("|", target, "class_id", "owner")})
+    checkpoints(rows.sparkSession)
+    rows = rows.checkpoint()  # used three times
     first = rows.groupBy("issue").agg(F.min("key").alias("first_key"))
     owners = rows.groupBy("target").agg(F.count("*").alias("entries"), F.count_distinct("owner").alias("owners"))
     out = rows.join(first, "issue").join(owners, "target")

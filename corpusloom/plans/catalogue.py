@@ -529,7 +529,7 @@ def rule_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.plan(_measures(spark, sf_dir), book, rules.LISTS).drop("context")
 
 
-@query(f"""WITH {LINES} SELECT doc, idx, CASE idx % 6 WHEN 0 THEN 'table-caption' WHEN 1 THEN 'numbered-heading' WHEN 2 THEN 'list-dash' WHEN 3 THEN 'list-number' WHEN 4 THEN 'chapter' END AS kind FROM lines WHERE regexp_matches(text, '^[A-Z][a-z]{{2,}}')""")
+@query(f"""WITH {LINES} SELECT doc, idx, CASE idx % 6 WHEN 0 THEN 'table-caption' WHEN 1 THEN CASE WHEN len({NORM.format('text')}) >= 8 THEN 'numbered-heading' END WHEN 2 THEN 'list-dash' WHEN 3 THEN 'list-number' WHEN 4 THEN CASE WHEN len({NORM.format('text')}) >= 8 THEN 'chapter' END END AS kind FROM lines WHERE regexp_matches(text, '^[A-Z][a-z]{{2,}}')""")
 def paragraph_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.operators import paragraphs
 

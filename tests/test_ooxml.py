@@ -117,3 +117,29 @@ def test_decode(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, c binary").orderBy("i").select(decode.decode_best("c").alias("d"), decode.line_ends(F.col("c")).alias("e")).collect()
     assert [r.d.text and r.d.text[:6] for r in rows] == ["Привет"] * 4 + [None]
     assert rows[0].e.utf8 and not rows[1].e.utf8
+
+
+def test_layout_and_table_looks(spark):
+    sect = lambda more, size='w:w="11906" w:h="16838"', mar="1134": f'<w:sectPr><w:pgSz {size}/><w:pgMar w:top="{mar}" w:right="850" w:bottom="850" w:left="850"/>{more}</w:sectPr>'
+    r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    body = "".join(f"<w:p><w:pPr>{s}</w:pPr></w:p>" for s in (
+        sect('<w:pgNumType w:start="3"/><w:headerReference w:type="default" r:id="h1"/>'), sect(""), sect('<w:pgNumType w:start="1"/>', 'w:w="16838" w:h="11906"'), sect('<w:headerReference w:type="default" r:id="h2"/>', mar="2000"),
+    )) + TABLE.replace("<w:tblPr/>", '<w:tblPr><w:tblBorders><w:top w:val="single" w:sz="4"/><w:left w:val="single" w:sz="8"/><w:right w:val="double"/></w:tblBorders><w:tblCellMar><w:left w:w="1"/></w:tblCellMar></w:tblPr>').replace(
+        "<w:tr><w:tc><w:tcPr><w:vMerge w:val='restart'/>", '<w:tr><w:trPr><w:trHeight w:hRule="exact"/></w:trPr><w:tc><w:tcPr><w:noWrap/><w:tcMar><w:left w:w="2"/></w:tcMar><w:vMerge w:val="restart"/>'
+    ).replace("<w:r><w:t>c", '<w:r><w:rPr><w:rFonts w:ascii="A" w:hAnsi="B" w:cs="C" w:eastAsia="D"/><w:sz w:val="20"/></w:rPr><w:t>c').replace("<w:r><w:t>b", '<w:r><w:rPr><w:sz w:val="28"/></w:rPr><w:t>b').replace("<w:tcPr></w:tcPr>", '<w:tcPr><w:tcMar><w:left w:w="3"/></w:tcMar></w:tcPr>') + "<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val='x'/></w:tcPr></w:tc></w:tr></w:tbl>"
+    doc = f"<w:document {W} {r}><w:body>{body}</w:body></w:document>"
+    rels = '<Relationships><Relationship Id="h1" Target="header1.xml"/><Relationship Id="h2" Target="header2.xml"/></Relationships>'
+    head = lambda t: f"<w:hdr {W}>{p(t)}</w:hdr>"
+    files = spark.createDataFrame([("a", bytearray(package({"word/document.xml": doc, "word/_rels/document.xml.rels": rels, "word/header1.xml": head("one"), "word/header2.xml": head("two")})))], "path string, content binary")
+    sections = ooxml.sections(files)
+    assert [(x.section, x.landscape, x.page_start, x.header) for x in sections.orderBy("section").collect()] == [(0, False, "3", "one"), (1, False, None, "one"), (2, True, "1", "one"), (3, False, None, "two")]
+    got = {(x.class_id, x.idx) for x in inspector.layout(sections).collect()}
+    assert got == {("page-number-first-section-start", 0), ("page-number-section-restart", 2), ("landscape-section-without-wide-table", 2), ("section-margin-profile-differs", 3), ("header-footer-profile-differs", 3)}
+    looks = {(x.class_id, x.severity, x.idx) for x in inspector.table_looks(ooxml.table_formats(files)).collect()}
+    assert looks == {("table-fixed-row-height", "critical", 0), ("table-border-mixed", "warning", 0), ("table-cell-margins-mixed", "warning", 0), ("table-fonts-mixed", "warning", 0), ("table-model-failed", "warning", 1)}
+
+
+def test_blank_paragraphs_that_anchor_something_stay():
+    body = "<w:p/><w:p/>" + "".join(f"<w:p><w:{t}/></w:p>" for t in ("commentRangeStart", "hyperlink", "lastRenderedPageBreak", "instrText", "commentRangeEnd")) + "<w:p/><w:p><w:r><w:tab/></w:r></w:p>"
+    out, n = rewrite.rewrite(docx(body), ("blank_paragraphs",))
+    assert n == 2 and ooxml.unpack(out)["word/document.xml"].decode().count("<w:p") == 7

@@ -53,9 +53,9 @@ def test_structure(spark):
 
 
 def test_paragraph_kinds(spark):
-    texts = ["Таблица 1 - x", "Рис. 2", "Содержание", "Приложение 1", "Глава 2. О", "1.2 Общие", "1.5 га", "- x", "• x", "3) x", "а) x", "текст", None]
+    texts = ["Таблица 1 - x", "Рис. 2", "Содержание", "Приложение 1", "Глава 2. Общие нормы", "1.2 Общие нормы", "1.5 га", "- x", "• x", "3) x", "а) x", "текст", None, "Глава 2. О", "1.2 Общие", "1.2 12345678"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(paragraphs.kind(F.col("text"))).collect()]
-    assert got[:6] == ["table-caption", "figure-caption", "toc-title", "appendix", "chapter", "numbered-heading"] and got[7:] == ["list-dash", "list-bullet", "list-number", "list-letter", None, None]
+    assert got[:6] == ["table-caption", "figure-caption", "toc-title", "appendix", "chapter", "numbered-heading"] and got[7:] == ["list-dash", "list-bullet", "list-number", "list-letter", None, None, None, None, None]
 
 
 def test_tables(spark):
