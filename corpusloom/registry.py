@@ -17,8 +17,8 @@ OPERATIONS: dict[str, tuple[str, dict]] = {
     "docx_deep_hygiene": ("corpusloom.plans.pipelines:deep_hygiene", {}),
     "docx_anomaly_scan": ("corpusloom.operators.inspector:inspect", {}),
     "docx_anomaly_correct": ("corpusloom.sources.rewrite:transform", {"steps": ("blank_paragraphs", "relax_tables", "cell_margins")}),
-    "docx_quality_gate": ("corpusloom.operators.findings:gate", {}),
-    "docx_hard_gate": ("corpusloom.operators.findings:gate", {}),
+    "docx_quality_gate": ("corpusloom.operators.findings:package_gate", {"stage": "before"}),
+    "docx_hard_gate": ("corpusloom.operators.findings:package_gate", {"stage": "before"}),
     "docx_oneclick": ("corpusloom.plans.pipelines:finalize", {}),
     "docx_accept_changes": ("corpusloom.sources.rewrite:transform", {"steps": ("accept_changes",)}),
     "docx_strip_comments": ("corpusloom.sources.rewrite:transform", {"steps": ("strip_comments",)}),
@@ -29,15 +29,17 @@ OPERATIONS: dict[str, tuple[str, dict]] = {
     "table_cell_margins": ("corpusloom.sources.rewrite:transform", {"steps": ("cell_margins",)}),
     "docx_style_scan": ("corpusloom.operators.paragraphs:kind", {}),
     "docx_near_dupes": ("corpusloom.operators.similarity:similar_pairs", {}),
-    "docx_pair_diff": ("corpusloom.operators.similarity:sequence_diff", {}),
+    "docx_pair_diff": ("corpusloom.operators.alignment:section_changes", {}),
+    "docx_split": ("corpusloom.operators.structure:numbered_sections", {}),
     "docx_split_chunks": ("corpusloom.operators.chunks:plan", {}),
     "docx_split_top_level_sections": ("corpusloom.operators.structure:sections", {}),
     "docx_extract_media": ("corpusloom.sources.ooxml:media", {}),
     "docx_extract_tables": ("corpusloom.sources.ooxml:tables", {}),
     "docx_table_stitcher": ("corpusloom.operators.tables:stitch_tables", {}),
-    "docx_table_unify_safe": ("corpusloom.operators.tables:group_tables", {"mode": "safe"}),
-    "docx_table_unify_width_only": ("corpusloom.operators.tables:group_tables", {"mode": "width"}),
-    "docx_table_unify_merged_sections": ("corpusloom.operators.tables:group_tables", {"mode": "balanced"}),
+    "docx_table_stitcher_running_header": ("corpusloom.operators.tables:running_tables", {}),
+    "docx_table_unify_safe": ("corpusloom.operators.tables:grouped_tables", {"mode": "safe"}),
+    "docx_table_unify_width_only": ("corpusloom.operators.tables:grouped_tables", {"mode": "width"}),
+    "docx_table_unify_merged_sections": ("corpusloom.operators.tables:grouped_tables", {"mode": "balanced"}),
     "docx_table_optimize_widths": ("corpusloom.operators.tables:widths", {}),
     "docx_table_fit_to_margins": ("corpusloom.operators.paragraphs:fit_gate", {}),
     "md_tables_to_xlsx": ("corpusloom.operators.tables:markdown_rows", {}),
@@ -47,7 +49,7 @@ OPERATIONS: dict[str, tuple[str, dict]] = {
 }
 
 #: What needs an office program or only draws reports.
-OUT_OF_SCOPE = {"docx_word_compare": "drives a word processor; its chunk plan is docx_split_chunks", "docx_merge": "drives a word processor", "docx_style_fix": "writes styles of a reference document", "docx_table_adapt_orientation": "page layout of single tables"}
+OUT_OF_SCOPE = {"docx_document_tables_unifier": "rewrites the look of whole documents; its tests are in inspector and tables", "docx_word_compare": "drives a word processor; its chunk plan is docx_split_chunks", "docx_merge": "drives a word processor", "docx_style_fix": "writes styles of a reference document", "docx_table_adapt_orientation": "page layout of single tables"}
 
 
 def resolve(name: str) -> Callable:
