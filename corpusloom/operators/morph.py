@@ -47,9 +47,9 @@ class Lexicon:
         return word
 
 
-def replace_phrase(text: str, find: list[str], phrase: str, lexicon: Lexicon, mode: str = "replace", separator: str = ", ") -> tuple[str, int]:
-    """Every run of words with the lemmas `find` replaced by (or followed by) the phrase, inflected as the run's last word."""
-    words, out, at, n, i = list(WORD.finditer(text)), [], 0, 0, 0
+def phrase_spans(text: str, find: list[str], phrase: str, lexicon: Lexicon, mode: str = "replace", separator: str = ", ") -> list[tuple[int, int, str]]:
+    """(start, end, new) of every run of words with the lemmas `find`, which the phrase, inflected as the run's last word, replaces or follows; none where it is there."""
+    words, out, i = list(WORD.finditer(text)), [], 0
     lemmas = [lexicon.lemma(w[0]) for w in words]
     same = lambda a, b: fold(a) == fold(b)
     while i + len(find) <= len(words):
@@ -62,18 +62,31 @@ def replace_phrase(text: str, find: list[str], phrase: str, lexicon: Lexicon, mo
             new = new[:1].upper() + new[1:]
         done = same(text[max(0, end - len(new)) : end], new) or mode == "append" and same(text[end : end + len(separator + new)], separator + new)
         if not done:
-            out += [text[at:start], text[start:end] + separator + new if mode == "append" else new]
-            at, n = end, n + 1
+            out.append((start, end, text[start:end] + separator + new if mode == "append" else new))
         i += len(find)
-    return "".join([*out, text[at:]]), n
+    return out
 
 
-def replace_in(nodes: DataFrame, find: str, phrase: str, lexicon: DataFrame, text_col: str = "text", mode: str = "replace", separator: str = ", ", max_forms: int = 2_000_000) -> DataFrame:
-    """nodes with `after` and `hits`. The lexicon is sent to the executors; its size is checked first."""
+def replace_phrase(text: str, find: list[str], phrase: str, lexicon: Lexicon, mode: str = "replace", separator: str = ", ") -> tuple[str, int]:
+    """The text with its phrase_spans put in, and their number."""
+    spans, out, at = phrase_spans(text, find, phrase, lexicon, mode, separator), [], 0
+    for start, end, new in spans:
+        out += [text[at:start], new]
+        at = end
+    return "".join([*out, text[at:]]), len(spans)
+
+
+def gathered(lexicon: DataFrame, max_forms: int = 2_000_000) -> Lexicon:
+    """The lexicon in the driver, if it has no more forms than that."""
     rows = lexicon.limit(max_forms + 1).collect()
     if len(rows) > max_forms:
         raise ValueError(f"the lexicon has over {max_forms} forms")
-    lex = Lexicon([(r[0], r[1], tuple(r[2])) for r in rows])
+    return Lexicon([(r[0], r[1], tuple(r[2])) for r in rows])
+
+
+def replace_in(nodes: DataFrame, find: str, phrase: str, lexicon: DataFrame, text_col: str = "text", mode: str = "replace", separator: str = ", ", max_forms: int = 2_000_000) -> DataFrame:
+    """nodes with `after` and `hits`. The lexicon is sent to the executors; its size is checked first."""
+    lex = gathered(lexicon, max_forms)
     wanted = [lex.lemma(w) for w in WORD.findall(find)]
     sent = nodes.sparkSession.sparkContext.broadcast(lex)
 

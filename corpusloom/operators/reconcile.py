@@ -72,3 +72,10 @@ def drop_empty_rows(cells: DataFrame, by: list[str]) -> DataFrame:
     """Rows with some meaningful cell, renumbered without gaps; zero and false are meaningful."""
     rows = cells.groupBy(*by, "row").agg(F.bool_or(F.coalesce(F.trim("value") != "", F.lit(False))).alias("full"), F.count("*").alias("cells"))
     return rows.filter("full").withColumn("new_row", F.row_number().over(Window.partitionBy(*by).orderBy("row")).cast("long")).select(*by, "row", "new_row", "cells")
+
+
+def sheet_sides(a: DataFrame, b: DataFrame, by: str = "file") -> DataFrame:
+    """The sheets of two cell tables, file by file: whether both have them, or only one."""
+    sides = lambda df, side: df.select(by, "sheet").distinct().withColumn(side, F.lit(True))
+    status = F.when(F.col("in_a") & F.col("in_b"), "both").when(F.col("in_a"), "only_a").otherwise("only_b")
+    return sides(a, "in_a").join(sides(b, "in_b"), [by, "sheet"], "full").select(by, "sheet", status.alias("status"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import normalize as N
 from corpusloom.operators import chunks, findings, hygiene, reconcile, similarity, structure, tables
-from corpusloom.plans import office, texts  # noqa: F401  register their queries
+from corpusloom.plans import office, restyled, texts  # noqa: F401  register their queries
 from corpusloom.plans.registered import oracle_sql, queries, query, read  # noqa: F401
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ OPERATIONS: dict[str, tuple[str, dict]] = {
     "docx_deep_hygiene": ("corpusloom.plans.pipelines:deep_hygiene", {}),
     "docx_anomaly_scan": ("corpusloom.operators.inspector:inspect", {}),
     "docx_anomaly_correct": ("corpusloom.sources.rewrite:transform", {"steps": ("blank_paragraphs", "relax_tables", "cell_margins")}),
+    "docx_style_apply": ("corpusloom.operators.restyle:assign", {}),
+    "docx_caption_renumber": ("corpusloom.operators.restyle:renumbered", {}),
+    "docx_morph_replace": ("corpusloom.sources.rewrite:edit_texts", {}),
     "docx_quality_gate": ("corpusloom.operators.findings:package_gate", {"stage": "before"}),
     "docx_hard_gate": ("corpusloom.operators.findings:package_gate", {"stage": "before"}),
     "docx_oneclick": ("corpusloom.plans.pipelines:finalize", {}),

@@ -297,6 +297,86 @@ def table_formats(files: DataFrame) -> DataFrame:
     return _rows(files, "table_index int, exact_rows int, no_wrap int, borders int, margins int, fonts int, size_range double, failed string", read)
 
 
+def run_text(run: ET.Element) -> str:
+    return "".join(t.text or "" for t in run.findall(f"{W}t"))
+
+
+def target_paragraphs(body: ET.Element) -> Iterator[tuple[dict, ET.Element]]:
+    """Where text may be replaced: the body's paragraphs, then those of its tables' cells, nested tables after their cell's own.
+
+    A cell is named by its first grid column; what goes on a cell above it is no cell. Places count from 1, nested tables
+    are named by the cells that hold them (table.row.cell.table)."""
+
+    def of_table(tbl: ET.Element, name: str) -> Iterator[tuple[dict, ET.Element]]:
+        for r, tr in enumerate(tbl.findall(f"{W}tr"), 1):
+            at = 1
+            for tc in tr.findall(f"{W}tc"):
+                span, merge = tc.find(f"{W}tcPr/{W}gridSpan"), tc.find(f"{W}tcPr/{W}vMerge")
+                if merge is None or merge.get(f"{W}val") == "restart":
+                    for i, p in enumerate(tc.findall(f"{W}p"), 1):
+                        yield {"kind": "table_cell", "table": name, "row": r, "cell": at, "paragraph": i}, p
+                    for i, inner in enumerate(tc.findall(f"{W}tbl"), 1):
+                        yield from of_table(inner, f"{name}.{r}.{at}.{i}")
+                at += int(span.get(f"{W}val") or 1) if span is not None else 1
+
+    for i, p in enumerate(body.findall(f"{W}p"), 1):
+        yield {"kind": "paragraph", "table": None, "row": None, "cell": None, "paragraph": i}, p
+    for i, tbl in enumerate(body.findall(f"{W}tbl"), 1):
+        yield from of_table(tbl, str(i))
+
+
+def targets(files: DataFrame) -> DataFrame:
+    """The paragraphs of `target_paragraphs`, numbered, with the text of their runs."""
+
+    def read(parts: dict[str, bytes]) -> Iterator[tuple]:
+        for i, (place, p) in enumerate(target_paragraphs(_body(parts))):
+            yield i, *place.values(), "".join(map(run_text, p.findall(f"{W}r")))
+
+    return _rows(files, "target int, kind string, table_path string, row int, cell int, paragraph int, text string", read)
+
+
+def paragraph_fields(p: ET.Element) -> list[dict]:
+    """A paragraph's fields in the order they begin: instruction, all runs, and the runs of the shown result."""
+    found, open_ = [], []
+    for run in p.findall(f"{W}r"):
+        mark = run.find(f"{W}fldChar")
+        kind = mark.get(f"{W}fldCharType") if mark is not None else None
+        if kind == "begin":
+            open_.append({"instr": "", "runs": [], "shown": [], "result": False, "closed": False})
+            found.append(open_[-1])
+        for f in open_:
+            f["runs"].append(run)
+        if open_ and kind == "separate":
+            open_[-1]["result"] = True
+        elif open_ and kind == "end":
+            open_.pop()["closed"] = True
+        elif open_ and kind is None:
+            instr = run.find(f"{W}instrText")
+            if instr is not None:
+                open_[-1]["instr"] += instr.text or ""
+            elif open_[-1]["result"]:
+                open_[-1]["shown"].append(run)
+    return [f for f in found if f["closed"]]
+
+
+def fields(files: DataFrame) -> DataFrame:
+    """Fields made of runs: paragraph (of all the body's, tables included), its style and bookmarks, field (of the paragraph), instr, result."""
+
+    def read(parts: dict[str, bytes]) -> Iterator[tuple]:
+        for i, p in enumerate(_body(parts).iter(f"{W}p")):
+            names = [b.get(f"{W}name") for b in p.findall(f"{W}bookmarkStart")]
+            for j, f in enumerate(paragraph_fields(p)):
+                yield i, _style(p), names, j, f["instr"], "".join(map(run_text, f["shown"]))
+
+    return _rows(files, "paragraph int, style string, bookmarks array<string>, field int, instr string, result string", read)
+
+
+def lock_files(spark: SparkSession, path: str) -> DataFrame:
+    """Paths and sizes of the lock files that Office leaves behind; they are told, never deleted."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "~$*.{docx,xlsx,pptx,doc,xls,ppt}").load(path)
+    return found.select("path", F.col("length").alias("size"))
+
+
 def media(files: DataFrame) -> DataFrame:
     def read(parts: dict[str, bytes]) -> Iterator[tuple]:
         for i, n in enumerate(sorted(n for n in parts if re.match(r"(?:word|ppt|xl)/media/", n)), 1):

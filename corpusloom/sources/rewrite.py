@@ -10,8 +10,11 @@ from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpusloom.sources.ooxml import S, W, XML_SPACE, content_parts, pack, text_of, unpack
+from corpusloom.operators.morph import put_in_runs
+from corpusloom.sources.ooxml import S, W, XML_SPACE, content_parts, pack, paragraph_fields, run_text, target_paragraphs, text_of, unpack
 
 
 def parse(data: bytes) -> ET.Element:
@@ -243,6 +246,134 @@ def drop_empty_rows(content: bytes) -> tuple[bytes, int]:
     return (pack(parts), n) if n else (content, 0)
 
 
+def put_text(runs: list[ET.Element], text: str) -> bool:
+    """The text in the first of the runs' text elements, the others emptied; False where there is none."""
+    found = [t for r in runs for t in r.findall(W + "t")]
+    for t in found:
+        t.text, text = text, ""
+        t.set(XML_SPACE, "preserve")
+    return bool(found)
+
+
+def _changed(files: DataFrame, change: Callable[[ET.Element, object], int], by: DataFrame | None = None) -> DataFrame:
+    """path, content, changes, ok, error: change(document root, the file's row of `by`(path, plan)) on each package; what changes nothing keeps its bytes."""
+    planned = by is not None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content, plan in zip(pdf.path, pdf.content, pdf.plan if planned else [None] * len(pdf)):
+                try:
+                    parts = unpack(content)
+                    root = parse(parts["word/document.xml"])
+                    n = change(root, plan)
+                    if n:
+                        parts["word/document.xml"] = dump(root)
+                    rows.append((path, pack(parts) if n else content, n, True, None))
+                except (zipfile.BadZipFile, ET.ParseError, KeyError) as e:
+                    rows.append((path, content, 0, False, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "content", "changes", "ok", "error"])
+
+    rows = files.select("path", "content") if by is None else files.select("path", "content").join(by, "path", "left")
+    return rows.mapInPandas(run, "path string, content binary, changes long, ok boolean, error string")
+
+
+def edit_texts(files: DataFrame, spans: Callable[[str], list[tuple[int, int, str]]]) -> DataFrame:
+    """Packages with spans(text) -> (start, end, new) put into the runs of every target paragraph."""
+
+    def change(root: ET.Element, _: object) -> int:
+        n = 0
+        for _, p in target_paragraphs(root.find(W + "body")):
+            runs = p.findall(W + "r")
+            old = list(map(run_text, runs))
+            found = spans("".join(old))
+            for r, before, after in zip(runs, old, put_in_runs(old, found) if found else old):
+                if before != after:
+                    put_text([r], after)
+            n += len(found)
+        return n
+
+    return _changed(files, change)
+
+
+def set_fields(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """Packages with the results of `restyle.renumbered`; in captions the chapter's field, its dot and the counter's restart go."""
+    plan = changes.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct("paragraph", "field", "kind", "result")).alias("plan"))
+
+    def change(root: ET.Element, plan: object) -> int:
+        paragraphs, n = list(root.find(W + "body").iter(W + "p")), 0
+        found: dict[int, list[dict]] = {}
+        for c in [] if plan is None else plan:
+            p = paragraphs[c["paragraph"]]
+            f = found.setdefault(c["paragraph"], paragraph_fields(p))[c["field"]]
+            n += put_text(f["shown"], c["result"])
+            if c["kind"] == "caption":
+                for t in (t for r in f["runs"] for t in r.findall(W + "instrText")):
+                    t.text = re.sub(r"\s*\\s\s*\d+\s*", " ", t.text or "")
+        for i in {c["paragraph"] for c in ([] if plan is None else plan) if c["kind"] == "caption"}:
+            p = paragraphs[i]
+            for f in (f for f in found[i] if "STYLEREF" in f["instr"]):
+                rest = list(p)[list(p).index(f["runs"][-1]) + 1 :]
+                for r in [*f["runs"], *(r for r in rest[:1] if r.tag == W + "r" and run_text(r).strip() == ".")]:
+                    p.remove(r)
+        return n
+
+    return _changed(files, change, plan)
+
+
+def set_styles(files: DataFrame, styled: DataFrame) -> DataFrame:
+    """Packages with the styles, numberings and texts of `restyle.assign` on the body's items; what goes on a title is joined to it."""
+    plan = styled.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct("idx", "role", "style", "numbering")).alias("plan"))
+
+    def change(root: ET.Element, plan: object) -> int:
+        body = root.find(W + "body")
+        items, n, title = list(body), 0, None
+        for c in [] if plan is None else sorted(plan, key=lambda c: c["idx"]):
+            p = items[c["idx"]]
+            if c["role"] == "title_goes_on":
+                ET.SubElement(ET.SubElement(title, W + "r"), W + "t", {XML_SPACE: "preserve"}).text = " "
+                for r in [x for x in p if x.tag in (W + "r", W + "hyperlink")]:
+                    title.append(r)
+                body.remove(p)
+                n += 1
+                continue
+            title = p if c["role"] == "caption_title" else title
+            if c["role"] == "list":
+                first = next((t for t in p.iter(W + "t") if re.match(r"\s*[-–—•]", t.text or "")), None)
+                if first is not None:
+                    first.text = re.sub(r"^\s*[-–—•]\s*", "", first.text)
+            props = p.find(W + "pPr")
+            if props is None:
+                props = ET.Element(W + "pPr")
+                p.insert(0, props)
+            for tag, value in (("pStyle", c["style"]), ("numPr", c["numbering"])):
+                old = props.find(W + tag)
+                if value is None:
+                    continue
+                if old is not None:
+                    props.remove(old)
+                new = ET.Element(W + tag)
+                props.insert(0 if tag == "pStyle" else 1, new)
+                if tag == "pStyle":
+                    new.set(W + "val", value)
+                else:
+                    num, level = (value.split(":") + ["0"])[:2]
+                    ET.SubElement(new, W + "ilvl", {W + "val": level})
+                    ET.SubElement(new, W + "numId", {W + "val": num})
+            n += 1
+        return n
+
+    return _changed(files, change, plan)
+
+
+def unique_paths(files: DataFrame, most: int = 999) -> DataFrame:
+    """files whose repeated paths get _2, _3 and so on before the suffix; more than `most` of a name is an error."""
+    n = F.row_number().over(Window.partitionBy("path").orderBy(F.xxhash64(*[c for c in files.columns if c != "path"])))
+    named = F.when(F.col("__n") == 1, F.col("path")).when(F.col("__n") <= most, F.regexp_replace("path", r"(\.[^./]*)?$", "")).otherwise(F.raise_error(F.concat(F.lit("too many files named "), F.col("path"))))
+    suffix = F.when(F.col("__n") > 1, F.concat(F.lit("_"), F.col("__n").cast("string"), F.regexp_extract("path", r"(\.[^./]*)$", 1))).otherwise("")
+    return files.withColumn("__n", n).withColumn("path", F.concat(named, suffix)).drop("__n")
+
+
 def transform(files: DataFrame, steps: tuple[str, ...]) -> DataFrame:
     """files(path, content) -> path, content, changes, ok, error."""
 
