@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions import normalize as N
 from corpusloom.operators import chunks, findings, hygiene, reconcile, similarity, structure, tables
 from corpusloom.plans import office, restyled, texts  # noqa: F401  register their queries
-from corpusloom.plans.registered import oracle_sql, queries, query, read  # noqa: F401
+from corpusloom.plans.registered import dealt, oracle_sql, queries, query, read  # noqa: F401
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.normal_lines(read(spark, sf_dir, "documents"))
@@ -125,7 +125,7 @@ shared AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS shared
 
 @query(_SETS + "SELECT a, b, shared, shared / (na + nb - shared) AS similarity FROM shared WHERE shared / (na + nb - shared) >= 0.5")
 def shingle_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.similar_pairs(read(spark, sf_dir, "documents"), 0.5)
+    return similarity.similar_pairs(dealt(read(spark, sf_dir, "documents"), "doc_id"), 0.5)
 
 
 @query()
@@ -137,7 +137,7 @@ def sketch_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def near_dupe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar pairs, then their sections matched, weighed and judged."""
-    docs = read(spark, sf_dir, "documents")
+    docs = dealt(read(spark, sf_dir, "documents"), "doc_id")
     pairs = similarity.similar_pairs(docs, 0.5)
     secs = similarity.line_sections(similarity.normal_lines(docs))
     fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  its own column ids
@@ -514,7 +514,7 @@ def rule_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.operators import rules
 
     book = rules.chosen(rules.checked(rules.RULES, rules.LISTS)[0])
-    return rules.fix(_measures(spark, sf_dir), book, rules.LISTS).withColumnRenamed("text", "fixed")
+    return rules.fix(dealt(_measures(spark, sf_dir), "file", "node"), book, rules.LISTS).withColumnRenamed("text", "fixed")
 
 
 @query(f"""WITH {_MEASURES}, f AS (SELECT file, node, part, 'AUDIT-UNIT-SQM' AS rule_code, 'PLAN' AS action, 8 AS start, 8 + len(q || 'кв.м') AS "end", q || 'кв.м' AS before, q || ' кв. м' AS after FROM m
@@ -526,7 +526,7 @@ def rule_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.operators import rules
 
     book = rules.chosen(rules.checked(rules.RULES, rules.LISTS)[0])
-    return rules.plan(_measures(spark, sf_dir), book, rules.LISTS).drop("context")
+    return rules.plan(dealt(_measures(spark, sf_dir), "file", "node"), book, rules.LISTS).drop("context")
 
 
 @query(f"""WITH {LINES} SELECT doc, idx, CASE idx % 6 WHEN 0 THEN 'table-caption' WHEN 1 THEN CASE WHEN len({NORM.format('text')}) >= 8 THEN 'numbered-heading' END WHEN 2 THEN 'list-dash' WHEN 3 THEN 'list-number' WHEN 4 THEN CASE WHEN len({NORM.format('text')}) >= 8 THEN 'chapter' END END AS kind FROM lines WHERE regexp_matches(text, '^[A-Z][a-z]{{2,}}')""")

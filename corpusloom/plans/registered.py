@@ -31,3 +31,12 @@ def oracle_sql() -> dict[str, str]:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores by its keys where it comes from fewer files than there are cores (a file of one row group is one task), else as it is.
+
+    For rows that cost far more than an exchange; a large table has files enough and isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df  # a number given isn't undone by adaptive execution

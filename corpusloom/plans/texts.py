@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import normalize as N
 from corpusloom.operators import address, alignment, findings, hygiene, reconcile, rules, similarity, structure, tables
-from corpusloom.plans.registered import query, read
+from corpusloom.plans.registered import dealt, query, read
 
 _LINES = "lines AS (SELECT doc_id AS doc, (i - 1)::INT AS idx, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
 
@@ -50,7 +50,7 @@ def deep_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hygiene, rules and their union: the untidy sentences break no rule of the books."""
     from corpusloom.plans import pipelines
 
-    found = pipelines.deep_hygiene(_untidy(spark, sf_dir))
+    found = pipelines.deep_hygiene(dealt(_untidy(spark, sf_dir), "file", "node"))
     return found.groupBy("owner", "file", "node", "class_id", "status").agg(F.count("*").alias("n"))
 
 
