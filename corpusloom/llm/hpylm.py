@@ -4,15 +4,15 @@ The restaurant of two preceding words sends its tables as customers to that of t
 parent all share, over a uniform base of the training vocabulary and one unknown word. Table counts are drawn by Gibbs
 sweeps in several chains; a text's probability uses the predictive probabilities averaged over chains and sweeps.
 
-A dish's tables are drawn from their exact conditional given its customers, the restaurant's other tables and the
-parent's probability, as long as it has at most EXACT customers. For more, the sizes of its tables are kept and random
-customers leave and are seated again, which is Gibbs sampling one customer at a time. Within a sweep the parents' probabilities
+In each sweep every dish's tables are drawn anew from their exact conditional given its customers, the restaurant's other
+tables and the parent's probability, however many customers it has (with over PEAKED tables: as a normal draw at its peak). Within a sweep the parents' probabilities
 stand still while their children's tables are drawn, as in approximate distributed Gibbs sampling: children of one parent
 aren't drawn one after another. Discounts are estimated from the kinds seen once and twice, strengths of the two lower
 levels are drawn between the passes (from the contexts that one part holds whole).
 
 There are two passes over the counts. In the first, parts burn their chains in on their own share of the parents'
-customers; in the second, chains go on from there with what the parents have told, and predict.
+customers; in the second, chains go on from there with what the parents have told: half of those sweeps settle them, and
+each of the others predicts.
 
 Work is dealt by the nearer word: a part holds all triples around its words with their counts, so both lower levels are
 local. A word with more than its share of all tokens is split over several parts by the farther word; its restaurant then
@@ -31,6 +31,7 @@ Empty input: no rows. No training tokens: base and model are uniform.
 
 from __future__ import annotations
 
+import functools
 import math
 import pickle
 from collections.abc import Iterator
@@ -46,8 +47,12 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import LOWER_TABLE, col, crc_bucket, cut, join_texts, mix64, small_batches, span_hash, sub_batches, word_spans
 
 END, BEGIN = np.uint64(1), np.uint64(2)
-#: Customers of a dish up to which tables are drawn from the exact conditional; customers reseated a sweep beyond, in the parts and at the parents.
-EXACT, RESEATED, HOME_RESEATED = 256, 16, 32
+#: Customers of a dish up to which the ways to seat them are tabled; beyond, they are carried on from there.
+EXACT = 1024
+#: Tables of a dish beyond EXACT up to which its conditional is enumerated.
+PEAKED = 256
+#: Customers of a dish that seating one by one moves in a sweep (see Seats; the model doesn't).
+RESEATED = 16
 #: Words at most that travel as numbers (two to three bytes); broadcast.
 FREQUENT = 400_000
 
@@ -251,6 +256,14 @@ class Part:
         self.local = np.ones(len(u), bool)
         self.local[self.far_pairs] = False
         self.count = np.bincount(self.word[self.pair], self.c, len(self.words)).astype(np.int64)
+        # what can move in a sweep: triples of two customers and more, the pairs above them, pairs that may have as many
+        self.busy = np.flatnonzero(self.c >= 2)
+        self.above, self.above_at = np.unique(self.pair[self.busy], return_inverse=True)
+        self.single = np.bincount(self.pair, self.c == 1, len(u))[self.above].astype(np.int64)
+        self.many = np.flatnonzero(np.bincount(self.pair, self.c, len(u)) >= 2)
+        far_at = np.minimum(np.searchsorted(self.far_pairs, self.above), max(len(self.far_pairs) - 1, 0))
+        far = np.flatnonzero(self.far_pairs[far_at] == self.above) if len(self.far_pairs) else np.empty(0, np.int64)
+        self.above_far = far, far_at[far]
 
 
 # --- seating ---
@@ -267,8 +280,101 @@ def log_tables(limit: int, d: float) -> np.ndarray:
     return out
 
 
+class Ways:
+    """Logarithms of the ways to seat any number of customers at t tables: a table up to EXACT, rows carried on from there beyond.
+
+    Rows come from the ratios of neighbours, S(c, t) / S(c, t - 1), which stay in range for any c; up to t tables they need none of
+    more tables. From STRIDES customers on, the recurrence is followed by Runge-Kutta steps of many customers at a time, as a step
+    each would make a dish of millions one task's work; that puts ratios off by up to 5e-5 at a discount of 0.3, by 3e-7 at 0.84.
+    The last rows are kept, as counts of triples don't change from sweep to sweep.
+    """
+
+    #: Cells of the rows that are held at once; customers from which steps are of many.
+    HELD, STRIDES = 1 << 19, 1024
+
+    def __init__(self, d: float) -> None:
+        self.d, self.table = d, log_tables(EXACT, d)
+        self._kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def rows(self, c: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(customers, a row each of the logarithms for 1 to `wide` tables, up to a constant) of ascending distinct c beyond EXACT."""
+        if wide in self._kept:
+            known, out = self._kept[wide]
+            at = np.minimum(np.searchsorted(known, c), len(known) - 1)
+            if np.array_equal(known[at], c):
+                yield c, out[at]
+                return
+        with np.errstate(divide="ignore"):
+            top = min(wide, EXACT)
+            ratio = np.zeros(wide - 1)  # of 2 tables to 1, 3 to 2 and so on; none beyond as many as customers
+            ratio[: top - 1] = np.exp(np.diff(self.table[EXACT, 1 : top + 1]))
+            room, fewer = EXACT - self.d * np.arange(2, wide + 1), np.zeros(wide - 1)
+            n, step = EXACT, max(1, self.HELD // wide)
+            for lo in range(0, len(c), step):
+                some = c[lo : lo + step]
+                out = np.zeros((len(some), wide))
+                for i, stop in enumerate(some.tolist()):
+                    while n < stop:
+                        stride = 0
+                        if stop - n >= 8 and n >= self.STRIDES and ratio[-1] > 0:
+                            stride = int(min(stop - n, n * min(0.05, 0.5 / (1 + 1 / ratio[-1]))))
+                        if stride >= 8:
+                            ratio = self._stride(ratio, n, stride)
+                            room += stride
+                            n += stride
+                            continue
+                        np.divide(1.0, ratio[:-1], out=fewer[1:])
+                        ratio *= room
+                        ratio += 1
+                        ratio /= fewer + (room + self.d)
+                        room += 1
+                        n += 1
+                    out[i, 1:] = np.cumsum(np.log(ratio))
+                if len(c) <= step:
+                    self._kept[wide] = some, out
+                yield some, out
+
+    def _stride(self, ratio: np.ndarray, n: int, stride: int) -> np.ndarray:
+        """The ratios for `stride` more customers than n: the logarithms' increments as a derivative at the middle of each unit, over the logarithm of n."""
+        taken = self.d * np.arange(1, len(ratio) + 1)
+
+        def slope(x: float, y: np.ndarray) -> np.ndarray:
+            at, opens = math.exp(x), np.exp(-y)
+            fewer = np.concatenate(([0.0], opens[:-1]))
+            return at * np.log1p((opens - fewer - self.d) / (fewer + (at - 0.5) - taken))
+
+        x, y = math.log(n + 0.5), np.log(ratio)
+        h = math.log(n + stride + 0.5) - x
+        a = slope(x, y)
+        b = slope(x + h / 2, y + h / 2 * a)
+        c = slope(x + h / 2, y + h / 2 * b)
+        return np.exp(y + h / 6 * (a + 2 * b + 2 * c + slope(x + h, y + h * c)))
+
+
+def peaked(c: np.ndarray, prior: np.ndarray, others: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with many of them: a normal draw at the conditional's peak.
+
+    The ways to seat c customers at t tables are c!/t! times a coefficient of ((1 - (1 - x)^d) / d)^t, whose saddle point 1 - x = y
+    tells the derivative of their logarithm by t.
+    """
+
+    def slope(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = 1 / (1 + np.exp(-z))
+        closed = 1 - y**d
+        t = c * closed / ((1 - y) * d * y ** (d - 1))
+        return t, np.log(closed / d) - np.log(t) + np.log(prior) + np.log(theta + d * (others + t))
+
+    lo, hi = np.full(len(c), -60.0), np.full(len(c), 20.0)
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        rises = slope(mid)[1] > 0
+        lo, hi = np.where(rises, mid, lo), np.where(rises, hi, mid)
+    (t, _), (t1, g1), (t2, g2) = slope(lo), slope(lo - 0.02), slope(lo + 0.02)
+    return np.clip(np.rint(t + rng.standard_normal(len(c)) * np.sqrt(np.maximum((t2 - t1) / np.maximum(g1 - g2, 1e-12), 0))), 1, c).astype(np.int64)
+
+
 class Seats:
-    """The tables' sizes of dishes with more than EXACT customers, a row a dish."""
+    """The tables' sizes of dishes with more customers than a table of ways holds, a row a dish: Gibbs sampling one customer at a time, by which the draws from `Ways` can be checked."""
 
     def __init__(self, dishes: np.ndarray, size: np.ndarray) -> None:
         self.dishes, self.size = dishes, size
@@ -348,27 +454,44 @@ class Level:
         self.seats = Seats(np.empty(0, np.int64), np.zeros((0, 1), np.int64))
         self.guests(c)
 
-    def guests(self, c: np.ndarray) -> None:
+    def guests(self, c: np.ndarray, at: np.ndarray | None = None) -> None:
+        """Takes numbers of customers: all, or those of the dishes `at`."""
+        if at is not None:
+            t = np.minimum(np.maximum(self.t[at], np.minimum(c, 1)), c)
+            self.total += np.bincount(self.of[at], t - self.t[at], self.n)
+            self.customers += np.bincount(self.of[at], c - self.c[at], self.n)
+            self.c[at], self.t[at] = c, t
+            return
         self.c = c
         self.t = np.minimum(np.maximum(self.t, np.minimum(c, 1)), c)
         self.total = np.bincount(self.of, self.t, self.n)
         self.customers = np.bincount(self.of, c, self.n)
 
-    def predict(self, prior: np.ndarray, d: float, theta: float) -> np.ndarray:
+    def predict(self, prior: np.ndarray, d: float, theta: float, at: np.ndarray | None = None) -> np.ndarray:
+        if at is not None:
+            of = self.of[at]
+            return (np.maximum(self.c[at] - d * self.t[at], 0) + (theta + d * self.total[of]) * prior) / (theta + self.customers[of])
         return (np.maximum(self.c - d * self.t, 0) + (theta + d * self.total[self.of]) * prior) / (theta + self.customers[self.of])
 
-    def sweep(self, prior: np.ndarray, d: float, theta: float, ways: np.ndarray, rng: np.random.Generator, reseated: int = RESEATED) -> None:
-        limit = len(ways) - 1
-        few, many = np.flatnonzero((self.c >= 2) & (self.c <= limit)), np.flatnonzero(self.c > limit)
-        t = np.minimum(self.c, 1)
-        for lo in range(0, len(few), 50_000):
-            t[few[lo : lo + 50_000]] = self._exact(few[lo : lo + 50_000], prior, d, theta, ways, rng)
-        if len(many):
-            self._seat(many, prior[many], self.total[self.of[many]] - self.t[many], d, theta, rng)
-            self.seats.sweep(prior[many], self.total[self.of[many]] - self.t[many], d, theta, rng, reseated)
+    def sweep(self, prior: np.ndarray, d: float, theta: float, ways: np.ndarray | Ways, rng: np.random.Generator, reseated: int = RESEATED, at: np.ndarray | None = None) -> None:
+        """Draws all tables anew, or those of the dishes `at` (prior: theirs); with a mere table of ways, dishes beyond it only move by so many reseated customers."""
+        table = ways.table if isinstance(ways, Ways) else ways
+        every = np.arange(len(self.c)) if at is None else at
+        c, old = self.c[every], self.t[every]
+        others, t = self.total[self.of[every]] - old, np.minimum(c, 1)
+        two, few, many = np.flatnonzero(c == 2), np.flatnonzero((c > 2) & (c < len(table))), np.flatnonzero(c >= len(table))
+        odds = prior[two] * (theta + d * (others[two] + 1)) / (1 - d)
+        t[two] = 1 + (rng.random(len(two)) * (1 + odds) < odds)
+        for own in np.split(few, np.flatnonzero(np.diff(np.cumsum(c[few]) >> 20)) + 1) if len(few) else ():  # of about a million cells
+            t[own] = self._exact(c[own], prior[own], others[own], d, theta, table, rng)
+        if len(many) and isinstance(ways, Ways):
+            t[many] = self._beyond(c[many], old[many], prior[many], others[many], d, theta, ways, rng)
+        elif len(many):
+            self._seat(every[many], prior[many], others[many], d, theta, rng)
+            self.seats.sweep(prior[many], others[many], d, theta, rng, reseated)
             t[many] = self.seats.t
-        self.t = t
-        self.total = np.bincount(self.of, self.t, self.n)
+        self.t[every] = t
+        self.total = np.bincount(self.of, self.t, self.n) if at is None else self.total + np.bincount(self.of[at], t - old, self.n)
 
     def _seat(self, many: np.ndarray, prior: np.ndarray, others: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> None:
         """The seats of those dishes, kept where they were, with as many customers as there are now."""
@@ -380,19 +503,41 @@ class Level:
         self.seats = Seats(many, size)
         self.seats.guests(self.c[many], prior, others, d, theta, rng)
 
-    def _exact(self, at: np.ndarray, prior: np.ndarray, d: float, theta: float, ways: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        c = self.c[at]
+    @staticmethod
+    def _exact(c: np.ndarray, prior: np.ndarray, others: np.ndarray, d: float, theta: float, ways: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         start = np.cumsum(c) - c
-        others = self.total[self.of[at]] - self.t[at]
         one = np.arange(int(c.sum())) - np.repeat(start, c)
-        grow = np.cumsum(np.log(theta + d * (np.repeat(others, c) + one)) + np.repeat(np.log(prior[at]), c))
+        grow = np.cumsum(np.log(theta + d * (np.repeat(others, c) + one)) + np.repeat(np.log(prior), c))
         weight = ways[np.repeat(c, c), one + 1] + grow - np.repeat(grow[start], c)
         weight -= np.repeat(np.maximum.reduceat(weight, start), c)
         mass = np.cumsum(np.exp(weight))
         before = np.concatenate(([0], mass))[start]
-        drawn = before + rng.random(len(at)) * (mass[start + c - 1] - before)
+        drawn = before + rng.random(len(c)) * (mass[start + c - 1] - before)
         return np.minimum(np.searchsorted(mass, drawn, "right") - start, c - 1) + 1
 
+    @staticmethod
+    def _beyond(c: np.ndarray, old: np.ndarray, prior: np.ndarray, others: np.ndarray, d: float, theta: float, ways: Ways, rng: np.random.Generator) -> np.ndarray:
+        """The same draw for more than EXACT customers, at up to `wide` tables (about twice the old ones); where any mass is left beyond them, again with more, and beyond PEAKED by its peak."""
+        drawn, wide, left = np.zeros(len(c), np.int64), 32, np.argsort(c, kind="stable")
+        need = 2 * old
+        while len(left):
+            if wide > PEAKED:
+                drawn[left] = peaked(c[left], prior[left], others[left], d, theta, rng)
+                break
+            now = left[need[left] <= wide]
+            for some, rows in ways.rows(np.unique(c[now]), wide) if len(now) else ():
+                lo, hi = np.searchsorted(c[now], (some[0], some[-1] + 1))
+                for i in range(lo, hi, step := max(1, Ways.HELD // wide)):
+                    own = now[i : min(i + step, hi)]
+                    weight = np.cumsum(np.log(theta + d * (others[own, None] + np.arange(wide))) + np.log(prior[own])[:, None], axis=1)
+                    weight += rows[np.searchsorted(some, c[own])]
+                    weight -= weight.max(1, keepdims=True)
+                    mass = np.cumsum(np.exp(weight), axis=1)
+                    drawn[own] = (mass <= (rng.random(len(own)) * mass[:, -1])[:, None]).sum(1) + 1
+                    need[own] = np.where(weight[:, -1] > -40, 2 * wide, 0)
+            left, wide = left[need[left] > wide], 2 * wide
+        return drawn
+
     def strength(self, d: float, theta: float, rng: np.random.Generator) -> tuple[float, float]:
         """What a draw of theta needs of this level: sums of the auxiliary successes and logarithms."""
         on = self.total >= 2
@@ -404,9 +549,9 @@ class Level:
 @dataclass
 class Settings:
     chains: int = 2
-    burn_in: int = 1  # sweeps on a part's own estimate of the parents
-    sweeps: int = 1  # sweeps on what the parents told
-    home_sweeps: int = 1  # sweeps at the parents
+    burn_in: int = 10  # sweeps on a part's own estimate of the parents
+    sweeps: int = 6  # sweeps on what the parents told; the later half predict
+    home_sweeps: int = 5  # sweeps at the parents
     theta: tuple[float, float] = (1.0, 1.0)  # of two words' and one word's restaurants, at first
     root_theta: float = 1.0
     learn_theta: bool = True
@@ -442,6 +587,18 @@ class Chain:
         self.low = Level(part.c, part.context, part.n_contexts)
         self.high = Level(self._sent(), part.near, len(part.nears))
 
+    def dump(self) -> tuple[bytes, bytes]:
+        return _small(self.low.t[self.part.busy]), _small(self.high.t[self.part.many])
+
+    @staticmethod
+    def load(part: Part, dumped: tuple[bytes, bytes]) -> Chain:
+        chain, (low, high) = Chain(part), (_large(x).astype(np.int64) for x in dumped)
+        chain.low.t[part.busy] = low
+        chain.low.guests(part.c)
+        chain.high.t[part.many] = high
+        chain.high.guests(chain._sent())
+        return chain
+
     def _sent(self) -> np.ndarray:
         return np.bincount(self.part.pair, self.low.t, len(self.part.word)).astype(np.int64)
 
@@ -451,10 +608,13 @@ class Chain:
         p[self.part.far_pairs] = far
         return p
 
-    def sweep(self, root: np.ndarray, far: np.ndarray, d: tuple, theta: tuple, ways: tuple, rng: np.random.Generator) -> None:
-        self.low.sweep(self.priors(root, far, d, theta)[self.part.pair], d[0], theta[0], ways[0], rng)
-        self.high.guests(self._sent())
-        self.high.sweep(root[self.part.word], d[1], theta[1], ways[1], rng)
+    def sweep(self, root: np.ndarray, far: np.ndarray, d: tuple, theta: tuple, ways: tuple[Ways, ...], rng: np.random.Generator) -> None:
+        part = self.part
+        p, (own, told) = self.high.predict(root[part.word[part.above]], d[1], theta[1], part.above), part.above_far
+        p[own] = far[told]
+        self.low.sweep(p[part.above_at], d[0], theta[0], ways[0], rng, at=part.busy)
+        self.high.guests(part.single + np.bincount(part.above_at, self.low.t[part.busy], len(part.above)).astype(np.int64), part.above)
+        self.high.sweep(root[part.word[part.many]], d[1], theta[1], ways[1], rng, at=part.many)
 
     def up(self) -> tuple[np.ndarray, np.ndarray]:
         """The parents' customers: by word, and those of the split words' dishes."""
@@ -465,11 +625,16 @@ class Chain:
         return self.low.predict(self.priors(root, far, d, theta)[self.part.pair], d[0], theta[0])
 
 
+@functools.lru_cache(maxsize=4)
+def _ways(d: float, limit: int) -> Ways:
+    return Ways(d)
+
+
 def burnt_in(part: Part, number: int, i: int, s: Settings) -> tuple[Chain, np.random.Generator, tuple]:
     """A chain after its first sweeps, with what the part itself tells of the parents and discounts: contexts are dealt by a hash, so it holds a fair share of both."""
     rng, chain = np.random.default_rng([s.seed, i, number]), Chain(part)
     d = discount(*kinds(part.c)), discount(*kinds(chain.high.c))
-    ways = tuple(log_tables(EXACT, x) for x in d)
+    ways = tuple(_ways(x, EXACT) for x in d)
     for _ in range(s.burn_in):
         r = np.bincount(part.word, chain.high.t, len(part.words))
         root = (np.maximum(r - 0.5, 0) + (s.root_theta + 0.5 * (r > 0).sum()) / (len(r) + 1)) / (s.root_theta + r.sum())
@@ -492,14 +657,15 @@ def _dealt(part: Part, homes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray
 
 
 def _ask(part: Part, number: int, homes: int, s: Settings) -> Iterator[tuple[int, bytes]]:
-    """To each home of parents: the part's words there with training counts and each chain's customers, and the split words' dishes; the part's scalars to one."""
-    ups, learned, own = [], [], []
+    """To each home of parents: the part's words there with training counts and each chain's customers, and the split words' dishes; the part's scalars to one, with its chains, which come back with the answers."""
+    ups, learned, own, seats = [], [], [], []
     for i in range(s.chains):
         chain, rng, d = burnt_in(part, number, i, s)
         ups.append(chain.up())
         learned.append([*chain.low.strength(d[0], s.theta[0], rng), *chain.high.strength(d[1], s.theta[1], rng)])
         own = [*kinds(part.c), *kinds(chain.high.c[part.local])]
-    scalars = (learned, own)
+        seats.append(chain.dump())
+    scalars = (learned, own, seats)
     for h, at, far in _dealt(part, homes):
         yield h, _pack(number, part.words[at].tobytes(), _small(part.count[at]), [_small(x[at]) for x, _ in ups], [x[far].tobytes() for x in part.far_keys], [_small(x[far]) for _, x in ups], scalars)
         scalars = None
@@ -532,7 +698,7 @@ class Home:
 
     def seat(self, s: Settings, t: Totals) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of each chain: tables of the split words' dishes, customers and tables of the words. Other homes hold as much as this one."""
-        out, ways = [], tuple(log_tables(EXACT, d) for d in t.discounts)
+        out, ways = [], tuple(_ways(x, EXACT) for x in t.discounts)
         for i, (r, c) in enumerate(zip(self.r, self.c)):
             rng = np.random.default_rng([s.seed, i, self.number, 7])
             base = np.full(len(r), 1 / (t.words + 1))
@@ -540,13 +706,13 @@ class Home:
             root = Level(r + np.bincount(self.dish, level.t, len(r)).astype(np.int64), np.zeros(len(r), np.int64), 1)
             for x in (root, level):
                 x.total, x.customers = x.total * self.homes, x.customers * self.homes
-            for _ in range(s.home_sweeps if len(c) else 0):
-                level.sweep(root.predict(base, t.discounts[2], s.root_theta)[self.dish], t.discounts[1], t.theta[i][1], ways[1], rng, HOME_RESEATED)
-                root.guests(r + np.bincount(self.dish, level.t, len(r)).astype(np.int64))
-                root.total = root.total * self.homes
-                level.total = level.total * self.homes
             for _ in range(s.home_sweeps):
-                root.sweep(base, t.discounts[2], s.root_theta, ways[2], rng, HOME_RESEATED)
+                if len(c):
+                    level.sweep(root.predict(base, t.discounts[2], s.root_theta)[self.dish], t.discounts[1], t.theta[i][1], ways[1], rng)
+                    root.guests(r + np.bincount(self.dish, level.t, len(r)).astype(np.int64))
+                    root.total = root.total * self.homes
+                    level.total = level.total * self.homes
+                root.sweep(base, t.discounts[2], s.root_theta, ways[2], rng)
                 root.total = root.total * self.homes
             out.append((level.t, root.c, root.t))
         return out
@@ -561,16 +727,18 @@ class Home:
         """To each part: its words' training counts, and by chain their customers and tables and those of the split words' dishes."""
         for j, x in enumerate(self.asked):
             at, dish = self.at[self.sizes[j] : self.sizes[j + 1]], self.dish_at[self.dish_sizes[j] : self.dish_sizes[j + 1]]
-            yield x[0], _pack(self.number, _small(self.count[at]), [(_small(r[at]), _small(k[at]), _small(c[dish]), _small(far[dish])) for (far, r, k), c in zip(seated, self.c)])
+            yield x[0], _pack(self.number, _small(self.count[at]), [(_small(r[at]), _small(k[at]), _small(c[dish]), _small(far[dish])) for (far, r, k), c in zip(seated, self.c)], x[6] and x[6][2])
 
 
-def _told(part: Part, blobs: list[bytes], homes: int, s: Settings, t: Totals) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Training counts of the part's words, and by chain the words' and the split words' dishes' probabilities."""
+def _told(part: Part, blobs: list[bytes], homes: int, s: Settings, t: Totals) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[Chain]]:
+    """Training counts of the part's words, and by chain the words' and the split words' dishes' probabilities, and the chains as they were."""
     got = {h: rest for h, *rest in map(_unpack, blobs)}
     d, u = t.discounts, part.far_keys[0]
     count, root, far = np.zeros(len(part.words), np.int64), [np.empty(len(part.words)) for _ in range(s.chains)], [np.empty(len(part.far_pairs)) for _ in range(s.chains)]
     for h, at, dish in _dealt(part, homes):
-        n, chains = got[h]
+        n, chains, seats = got[h]
+        if seats:
+            back = [Chain.load(part, x) for x in seats]
         count[at] = _large(n)
         for i, (r, k, c, tables) in enumerate(chains):
             r, k, c, tables = (_large(x).astype(np.float64) for x in (r, k, c, tables))
@@ -578,7 +746,7 @@ def _told(part: Part, blobs: list[bytes], homes: int, s: Settings, t: Totals) ->
             c_u, t_u = (np.array([t.hot[i][x][j] for x in u[dish].tolist()], np.float64) for j in (0, 1))
             theta = t.theta[i][1]
             far[i][dish] = (np.maximum(c - d[1] * tables, 0) + (theta + d[1] * t_u) * root[i][part.word[part.far_pairs[dish]]]) / (theta + c_u)
-    return count, root, far
+    return count, root, far, back
 
 
 # --- all together ---
@@ -670,16 +838,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         part, blobs = load(items)
         if not len(part.c):
             return
-        count, root, far = _told(part, blobs, homes, s, t)
-        ways, average = tuple(log_tables(EXACT, d) for d in t.discounts), np.zeros(len(part.c))
-        for i in range(s.chains):
-            chain, rng, _ = burnt_in(part, number, i, s)
-            for _ in range(s.sweeps):
+        count, root, far, chains = _told(part, blobs, homes, s, t)
+        ways, average = tuple(_ways(x, EXACT) for x in t.discounts), np.zeros(len(part.c))
+        for i, chain in enumerate(chains):
+            rng = np.random.default_rng([s.seed, i, number, 1])
+            for k in range(s.sweeps):
                 chain.sweep(root[i], far[i], t.discounts, t.theta[i], ways, rng)
-                average += chain.predict(root[i], far[i], t.discounts, t.theta[i])
+                if k >= s.sweeps // 2:
+                    average += chain.predict(root[i], far[i], t.discounts, t.theta[i])
             if not s.sweeps:
                 average += chain.predict(root[i], far[i], t.discounts, t.theta[i])
-        logp = np.rint(-np.log10(average / (s.chains * max(s.sweeps, 1))) * FINE).astype(np.int64)
+        logp = np.rint(-np.log10(average / (s.chains * max(s.sweeps - s.sweeps // 2, 1))) * FINE).astype(np.int64)
         of_word, at = count[part.word[part.pair]], 0
         for block, size in part.blocks:
             own, rare = part.triple_of[at : at + size], part.rare[at : at + size]

@@ -176,6 +176,49 @@ def test_seating_follows_the_conditional(limit):
     assert np.exp(hpylm.log_tables(3, d)[3, 1:]) == pytest.approx([(1 - d) * (2 - d), 3 * (1 - d), 1])
 
 
+def test_the_same_draws_beyond_the_table(monkeypatch):
+    """Dishes with more customers than the table of ways holds: one draw, against the enumerated conditional, and rows against the whole table."""
+    monkeypatch.setattr(hpylm, "EXACT", 8)
+    rng, d, theta, prior, others = np.random.default_rng(1), 0.6, 1.0, 0.05, 7
+    c = np.repeat([20, 33, 60], 4000)
+    level = hpylm.Level(c, np.arange(len(c)), len(c))
+    level.total = level.t + others
+    level.sweep(np.full(len(c), prior), d, theta, hpylm.Ways(d), rng)
+    whole = hpylm.log_tables(60, d)
+    for n in (20, 33, 60):
+        t = np.arange(1, n + 1)
+        weight = whole[n, 1 : n + 1] + np.cumsum(np.log(prior) + np.log(theta + d * (others + t - 1)))
+        want = np.exp(weight - weight.max())
+        want /= want.sum()
+        assert np.abs(np.bincount(level.t[c == n], minlength=n + 1)[1:] / 4000 - want).max() < 0.03
+        for wide in (3, 8, 40):
+            ((_, rows),) = hpylm.Ways(d).rows(np.array([9, n]), wide)
+            assert rows[1, : min(n, wide)] == pytest.approx(whole[n, 1 : min(n, wide) + 1] - whole[n, 1], abs=1e-9) and np.isneginf(rows[0, 9:]).all()
+
+
+def test_draws_of_many_tables():
+    """Beyond PEAKED tables the draws have the conditional's mean and spread."""
+    d, theta, prior, others, n = 0.84, 1.0, 0.05, 20_000, 4000
+    ((_, rows),) = hpylm.Ways(d).rows(np.array([5000]), 4096)
+    t = np.arange(1, 4097)
+    weight = rows[0] + np.cumsum(np.log(prior) + np.log(theta + d * (others + t - 1)))
+    want = np.exp(weight - weight.max())
+    want /= want.sum()
+    mean = (want * t).sum()
+    got = hpylm.Level._beyond(np.full(n, 5000), np.ones(n, np.int64), np.full(n, prior), np.full(n, float(others)), d, theta, hpylm.Ways(d), np.random.default_rng(1))
+    assert mean > hpylm.PEAKED and got.mean() == pytest.approx(mean, rel=5e-3) and got.std() == pytest.approx(np.sqrt((want * (t - mean) ** 2).sum()), rel=0.05)
+
+
+def test_default_sweeps_are_enough(spark):
+    """The probabilities of the default settings are those of chains that go on for long."""
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(30_000)]
+    rows = spark.createDataFrame([(i, " ".join(words[100 * i : 100 * i + 100])) for i in range(300)], "doc_id long, text string")
+    score = lambda s: np.array([r.score for r in hpylm.score_documents(rows, settings=s, part_tokens=8000).orderBy("doc_id").collect()])
+    long = score(hpylm.Settings(chains=6, burn_in=30, sweeps=60, home_sweeps=30, seed=5))
+    assert np.abs(score(None) - long).mean() < 0.4  # log10 a text of 100 words
+
+
 # --- 3 ---
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
