@@ -1,7 +1,10 @@
-"""SimHash groups at a similarity of word shingles (0.8 by default), with wide fingerprints behind an exact prefix filter.
+"""SimHash groups: fingerprints within two bits by pigeonring, and further texts down to a similarity of word shingles (0.8 by default).
 
-A near copy at that similarity differs in far more than two bits of 64, and after an edit of a block (a text cut short,
-an added section) in more word bits than after scattered edits, so candidates come from the shingles themselves: under
+Texts whose 64-bit fingerprints (those of `simhash`, of three words) differ in two bits at most are linked as there: segments of
+the fingerprints meet by pigeonring, and all links count. What follows adds to them and takes none away.
+
+A near copy at the similarity differs in far more than two bits of 64, and after an edit of a block (a text cut short,
+an added section) in more word bits than after scattered edits, so further candidates come from the shingles themselves: under
 one order of all shingles, two texts at the threshold share one of the first n - ceil(similarity * n) + 1 of their n
 distinct shingles, whatever the edit and however many texts there are. Any one order is exact; here shingles that are
 frequent in a sample of the texts come last, so that a common passage makes no bucket as long as the rest of a text
@@ -39,7 +42,10 @@ from pyspark.sql.window import Window
 
 from corpusloom.llm.common import LOWER_TABLE, col, cut, join_texts, mix64, small_batches, span_hash, sub_batches, word_spans
 from corpusloom.llm.graph import components
+from corpusloom.llm.simhash import close_fingerprints, shingle_hashes, simhash
 
+#: Words of a shingle and seed of the fingerprints that meet by pigeonring, as in op5.
+RING_SHINGLE, RING_SEED = 3, 42
 WIDE = 10  # 64-bit words of the shingle fingerprint
 #: Texts of the sample that tells frequent shingles, how many of them make a shingle frequent, and the most that are told.
 SAMPLE_TEXTS, FREQUENT, MOST_FREQUENT = 5000, 5, 200_000
@@ -290,12 +296,21 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_rows: int = 20_000) -> DataFrame:
-    """doc_id, text_key, group: rows of one group are linked by texts of at least that similarity (a long of its own, not an id)."""
+    """doc_id, text_key, group: rows of one group are linked by fingerprints within two bits or texts of at least that similarity (a long of its own, not an id)."""
     keyed = _keyed(docs, id_col, text_col)
     found = _text_groups(keyed, shingle, similarity, bucket_rows)
     return keyed.select("doc_id", "text_key").join(found, "text_key", "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("group"))
 
 
+def _ring_links(nodes: DataFrame) -> DataFrame:
+    """nodes(text_key, fp) -> edges between texts whose fingerprints are linked by pigeonring; those of a fingerprint hang on its smallest text."""
+    lowest = cut(nodes.groupBy("fp").agg(F.min("text_key").alias("low")))
+    same = nodes.join(lowest, "fp").filter("text_key != low").select(F.col("text_key").alias("a"), F.col("low").alias("b"))
+    close = close_fingerprints(lowest.select("fp"))
+    named = lambda c: lowest.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_key"))
+    return same.unionByName(close.join(named("a"), "a").join(named("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b")))
+
+
 def _text_groups(keyed: DataFrame, shingle: int, similarity: float, bucket_rows: int) -> DataFrame:
     """text_key, root: the set of each text that is linked to another."""
     n_texts = keyed.select("text_key").distinct().count()
@@ -305,14 +320,15 @@ def _text_groups(keyed: DataFrame, shingle: int, similarity: float, bucket_rows:
     sure, most = int(bits * apart - SLACK[0] * deviation), int(bits * apart + SLACK[1] * deviation)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text's first shingles (val), and one row with its fingerprint; copies that a task meets again add none."""
+        """Each text's first shingles (val), and one row with its two fingerprints (that of 64 bits as val); copies that a task meets again add none."""
         seen: set[int] = set()
         for b in sub_batches(batches, "text"):
             keys = b.column(1).to_pylist()
             new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
             first, wide, owner = [], [], []
-            for k, own in zip((keys[i] for i in new), _shingles(b.column(0).take(pa.array(new, pa.int64())).to_pylist(), shingle)):
-                first += [prefix(own, sent.value, similarity).view(np.int64), np.array([k], np.int64)]
+            texts = b.column(0).take(pa.array(new, pa.int64())).to_pylist()
+            for k, text, own in zip((keys[i] for i in new), texts, _shingles(texts, shingle)):
+                first += [prefix(own, sent.value, similarity).view(np.int64), np.array([simhash(shingle_hashes(text, RING_SHINGLE, RING_SEED))], np.int64)]
                 owner.append(np.full(len(first[-2]) + 1, k, np.int64))
                 wide += [*[None] * len(first[-2]), wide_simhash(own, WIDE).tobytes()]
             if new:
@@ -324,11 +340,12 @@ def _text_groups(keyed: DataFrame, shingle: int, similarity: float, bucket_rows:
     all_rows = all_rows.repartition("val").dropDuplicates(["val", "prints", "text_key"])
     counted = all_rows.withColumns({"n": F.count("*").over(by_val), "x": F.bit_xor(F.xxhash64("text_key")).over(by_val)})
     held = cut(counted.filter("prints or n > 1"))
-    nodes = held.filter("prints").select("text_key", "wide").dropDuplicates(["text_key"])
+    nodes = held.filter("prints").select("text_key", "wide", F.col("val").alias("fp")).dropDuplicates(["text_key"])
     met = held.filter("not prints").select("val", "n", "x", "text_key")
     buckets = cut(met.groupBy("n", "x").agg(F.min("val").alias("val")).select("val", "n"))
     rows_of = cut(met.join(buckets.select("val"), "val", "left_semi").join(nodes, "text_key").select("val", "n", "text_key", "wide"))
-    edges = _by_bucket(rows_of.filter(F.col("n") <= bucket_rows).drop("n"), ["val"], lambda rows, n_keys: _linked(rows, n_keys, sure))
+    ring = _ring_links(nodes.select("text_key", "fp"))
+    edges = ring.unionByName(_by_bucket(rows_of.filter(F.col("n") <= bucket_rows).drop("n"), ["val"], lambda rows, n_keys: _linked(rows, n_keys, sure)))
     if not buckets.filter(F.col("n") > bucket_rows).isEmpty():
         edges = _large_buckets(cut(edges), rows_of.filter(F.col("n") > bucket_rows), bucket_rows, sure)
     edges = cut(edges)

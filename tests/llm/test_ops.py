@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusloom.llm import common, crf_lang, decontam, fst_tokens, graph, hpylm, linespread, packing, queries, sharding, simhash, simhash_wide, urlfilter, vamana
 from tests.conftest import SF, same_rows
 
@@ -404,6 +405,24 @@ def test_similar_groups(spark, none):
     assert kept == {*range(0, 48, 4), 100, 102} and simhash_wide.keep_one(none).count() == 0
 
 
+def test_near_dedup_links_by_pigeonring(spark):
+    """Texts whose fingerprints are within two bits are one group, as op5 has it, though their shingle sets are less than 0.8 alike."""
+    rng, rows = random.Random(8), []
+    for g in range(20):
+        again = " ".join(f"r{rng.randrange(10_000)}" for _ in range(7))
+        for _ in range(3):
+            rows.append((len(rows), f"{again} " * 120 + " ".join(f"u{rng.randrange(10_000)}" for _ in range(8))))
+    rows += [(len(rows), None), (len(rows) + 1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert len(set(want.values())) < 30
+    own = [set(h.tolist()) for h in simhash_wide._shingles([t for _, t in rows], 5)]
+    assert any(want[i] == want[j] and len(own[i] & own[j]) < 0.8 * len(own[i] | own[j]) for i in range(60) for j in range(i))
+    got = {r.doc_id: r.group for r in simhash_wide.similar_groups(df).collect()}
+    assert all(got[i] == got[want[i]] for i in got)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} <= set(want.values())
+
+
 @pytest.mark.parametrize("n_others", [0, 3000, 30_000])
 def test_similar_groups_of_block_edits(spark, n_others):
     """Texts cut short, added to or with a block replaced: each meets its like, however many others there are."""
