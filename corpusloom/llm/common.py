@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -37,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(spark: SparkSession) -> None:
+    """Has Spark drop the shuffles and checkpoints that nothing refers to any more, which else waits for the driver to be short of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """Arrow batches of at most so many rows from here on in this session: texts are long, and a batch is held at both ends."""
     if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -80,8 +88,20 @@ def crc_bucket(id_col: str, modulus: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+#: Bytes of text after which a Python worker gives freed memory back.
+TIDIED = 8 << 20
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: an idle worker is kept by Spark for a minute, beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def sub_batches(batches: Iterator[pa.RecordBatch], text: str | int, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with about max_bytes of text (a column's name or place), so that memory doesn't follow the batch size. A longer row comes alone."""
+    seen = 0
     for batch in batches:
         texts = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))
         sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
@@ -93,6 +113,11 @@ def sub_batches(batches: Iterator[pa.RecordBatch], text: str | int, max_bytes: i
             total += int(n)
         if batch.num_rows > start:
             yield batch.slice(start)
+        seen += int(sizes.sum())
+        if seen > TIDIED:
+            seen = 0
+            tidy()
+    tidy()
 
 
 # --- word hashing over a byte buffer, without a Python object per word ---

@@ -20,7 +20,8 @@ over the groups. Then all its texts outside of its largest linked set so far are
 blocks of bounded size and between different sets only; so no pair is left out. Where pivots link nearly all, that costs
 little more than the bucket's size; a large bucket of texts that aren't alike costs its square.
 
-Last, the texts that are within the estimate's error of the threshold to one of another set get their shingles back, and
+Last, the texts that are within the estimate's error of the threshold to one of another set get their shingles back (a bitmap of
+their rows goes to where the texts stand, so that only those shingles travel), and
 the Jaccard similarity of the shingle sets decides. So links are exact but for what the estimate puts that far off.
 Shingles are compared by 32 bits there, which a text of a thousand words may confuse once in four thousand texts. What is emitted is always a forest or one row a text and bucket, never pairs.
 
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import LOWER_TABLE, col, cut, join_texts, mix64, small_batches, span_hash, sub_batches, word_spans
+from corpusloom.llm.common import LOWER_TABLE, col, cut, forget, join_texts, mix64, small_batches, span_hash, sub_batches, tidy, word_spans
 from corpusloom.llm.graph import components
 from corpusloom.llm.simhash import close_fingerprints, shingle_hashes, simhash
 
@@ -53,6 +54,8 @@ SAMPLE_TEXTS, FREQUENT, MOST_FREQUENT = 5000, 5, 200_000
 PIVOTS = 8
 #: Standard deviations of the fingerprints' differing bits, below and above the threshold, within which the shingles decide; rows of a bucket that are then compared at once.
 SLACK, DECIDED_ROWS = (2.0, 3.0), 4000
+#: Bits of the bitmap of texts in doubt: for each of them, and the power of two at which it ends (32 MB; beyond, more are picked by chance).
+MARKED, MOST_BITS = 32, 28
 MET = ("val", "a", "b", "side", "text_key", "root", "wide")
 
 
@@ -214,6 +217,8 @@ def _by_bucket(rows: DataFrame, keys: list[str], of_buckets, schema: str | Struc
                     held = [b.slice(stop)]
         if held:
             yield of_buckets(pa.Table.from_batches(held), len(keys))
+        held.clear()
+        tidy()
 
     # by a hash of its own: were it the partitioning of a join below, adaptive execution could drop this exchange and read that one piecemeal
     return rows.repartition(F.xxhash64(F.lit(3), *keys)).sortWithinPartitions(*keys).mapInArrow(run, schema)
@@ -273,6 +278,23 @@ def _row_key() -> Column:
     return F.xxhash64("doc_id", "text_key")
 
 
+def _marks(keys: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of n keys(key), hashes, at about MARKED bits each: so texts are picked where they stand, and only what is picked travels."""
+    bits = min(1 << MOST_BITS, max(1 << 15, 1 << (MARKED * n).bit_length()))
+    bit = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
+    found = keys.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap")).collect()
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for r in found:
+        out[r["at"] - 1] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    return out.ravel()
+
+
+def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys (bigint) are marked: all that the bitmap was made of, and others by chance."""
+    bit = keys & np.int64(8 * len(bitmap) - 1)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _decisions(rows_of: DataFrame, edges: DataFrame, keyed: DataFrame, shingle: int, similarity: float, room: int, most: int) -> DataFrame:
     """Further edges, by the shingles of the texts that are in doubt."""
     rows = cut(_rooted(rows_of, edges))
@@ -280,14 +302,18 @@ def _decisions(rows_of: DataFrame, edges: DataFrame, keyed: DataFrame, shingle:
     met = few.unionByName(_blocked(rows.filter(F.col("n") > room), room))
     doubt = cut(_by_bucket(met, ["val", "a", "b"], lambda rows, n_keys: _in_doubt(rows, n_keys, most), met.schema))
     # one row stands for all copies of a text, so that they don't meet in one task
-    one = _smallest_ids(keyed).join(doubt.select("text_key").distinct(), "text_key", "left_semi")
-    asked = keyed.join(one.select(_row_key().alias("row_key")), _row_key() == F.col("row_key"), "left_semi").dropDuplicates(["text_key"]).select("text", "text_key")
+    texts = doubt.select("text_key").distinct()
+    one = _smallest_ids(keyed).join(texts, "text_key", "left_semi")
+    sent = keyed.sparkSession.sparkContext.broadcast(_marks(one.select(_row_key().alias("key")), texts.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles of marked rows; the few that are marked by chance are copies, or not asked for below."""
         for b in sub_batches(batches, "text"):
+            b = b.filter(pa.array(marked(sent.value, b.column(2).to_numpy())))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in _shingles(b.column(0).to_pylist(), shingle)], pa.binary())], names=["text_key", "shingles"])
 
-    held = doubt.join(small_batches(asked).mapInArrow(run, "text_key bigint, shingles binary"), "text_key").select(*MET, "shingles")
+    asked = small_batches(keyed.select("text", "text_key", _row_key().alias("row_key"))).mapInArrow(run, "text_key bigint, shingles binary").dropDuplicates(["text_key"])
+    held = doubt.join(asked, "text_key").select(*MET, "shingles")
     return _by_bucket(held, ["val", "a", "b"], lambda rows, n_keys: _decided(rows, n_keys, most, similarity))
 
 
@@ -349,6 +375,8 @@ def _text_groups(keyed: DataFrame, shingle: int, similarity: float, bucket_rows:
     if not buckets.filter(F.col("n") > bucket_rows).isEmpty():
         edges = _large_buckets(cut(edges), rows_of.filter(F.col("n") > bucket_rows), bucket_rows, sure)
     edges = cut(edges)
+    del all_rows, counted, held, nodes, met, buckets, ring
+    forget(keyed.sparkSession)
     found = components(edges.unionByName(_decisions(rows_of, edges, keyed, shingle, similarity, min(bucket_rows, DECIDED_ROWS), most)))
     return found.withColumnRenamed("node", "text_key")
 

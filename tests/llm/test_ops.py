@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -423,6 +425,34 @@ def test_near_dedup_links_by_pigeonring(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} <= set(want.values())
 
 
+def test_texts_in_doubt_are_picked_where_they_stand(spark):
+    """No row that is asked for is lost to the bitmap, and few others are picked."""
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    bitmap = simhash_wide._marks(keys, 5000)
+    asked, others = (np.array([r.key for r in spark.range(*x).select(F.xxhash64("id").alias("key")).collect()]) for x in ((0, 5000), (5000, 25_000)))
+    assert simhash_wide.marked(bitmap, asked).all() and simhash_wide.marked(bitmap, others).mean() < 0.05
+    assert not simhash_wide.marked(simhash_wide._marks(keys.limit(0), 0), asked).any()
+
+
+def test_workers_give_memory_back():
+    """A worker that has gone through its batches keeps little of what it took: idle workers stand beside the next stage's."""
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from corpusloom.llm.common import sub_batches
+held = lambda: int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+before, last = held(), []
+for b in sub_batches(iter([pa.RecordBatch.from_pydict({"text": ["x"]})]), "text"):
+    taken = [np.ones(100_000, np.uint8) for _ in range(2000)]
+    last.append(np.ones(100_000, np.uint8))
+    most = held()
+    del taken
+print(most - before, held() - before)
+"""
+    most, after = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert most > 150 and after < 50
+
+
 @pytest.mark.parametrize("n_others", [0, 3000, 30_000])
 def test_similar_groups_of_block_edits(spark, n_others):
     """Texts cut short, added to or with a block replaced: each meets its like, however many others there are."""
