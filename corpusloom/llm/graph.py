@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cut
 
+#: Edges of a checkpoint's file at least, unless there are fewer files than cores: each file of a local folder has the executor start two processes (chmod).
+FILE_EDGES = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of longs -> node, root (the smallest node of its component); nodes without edges don't appear.
@@ -26,4 +29,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        files = max(edges.sparkSession.sparkContext.defaultParallelism, -(-mark["n"] // FILE_EDGES))
+        now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(files))

@@ -434,6 +434,23 @@ def test_texts_in_doubt_are_picked_where_they_stand(spark):
     assert not simhash_wide.marked(simhash_wide._marks(keys.limit(0), 0), asked).any()
 
 
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has: each file of a checkpoint costs the executor two processes."""
+    rounds, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(cut(df)) or rounds[-1])
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = {r.node: r.root for r in graph.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == dict.fromkeys(range(51), 0) and len(rounds) > 2
+    assert max(df.rdd.getNumPartitions() for df in rounds[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_workers_give_memory_back():
     """A worker that has gone through its batches keeps little of what it took: idle workers stand beside the next stage's."""
     code = """
