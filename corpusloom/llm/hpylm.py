@@ -32,7 +32,6 @@ Empty input: no rows. No training tokens: base and model are uniform.
 from __future__ import annotations
 
 import functools
-import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -51,6 +50,8 @@ END, BEGIN = np.uint64(1), np.uint64(2)
 EXACT = 1024
 #: Tables of a dish beyond EXACT up to which its conditional is enumerated.
 PEAKED = 256
+#: Customers of a dish up to which its conditional is multiplied out, and the rate of new tables up to which that stays in range.
+SMALL, CALM = 64, 1000.0
 #: Customers of a dish that seating one by one moves in a sweep (see Seats; the model doesn't).
 RESEATED = 16
 #: Words at most that travel as numbers (two to three bytes); broadcast.
@@ -286,65 +287,98 @@ class Ways:
     Rows come from the ratios of neighbours, S(c, t) / S(c, t - 1), which stay in range for any c; up to t tables they need none of
     more tables. From STRIDES customers on, the recurrence is followed by Runge-Kutta steps of many customers at a time, as a step
     each would make a dish of millions one task's work; that puts ratios off by up to 5e-5 at a discount of 0.3, by 3e-7 at 0.84.
-    The last rows are kept, as counts of triples don't change from sweep to sweep.
+    Ratios on the way are kept at nodes, from the last of which any number of customers is one such step away, or a few of one
+    customer; so the way is gone once, not once a sweep. The last rows are kept too, as counts of triples don't change.
     """
 
-    #: Cells of the rows that are held at once; customers from which steps are of many.
-    HELD, STRIDES = 1 << 19, 1024
+    #: Cells of the rows that are held at once; customers from which steps are of many; least customers between nodes where they aren't.
+    HELD, STRIDES, NODES = 1 << 19, 1024, 16
 
     def __init__(self, d: float) -> None:
         self.d, self.table = d, log_tables(EXACT, d)
         self._kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._nodes: dict[int, list[tuple[int, int, np.ndarray]]] = {}  # wide -> customers, the step of many from there or 0, ratios
 
     def rows(self, c: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(customers, a row each of the logarithms for 1 to `wide` tables, up to a constant) of ascending distinct c beyond EXACT."""
-        if wide in self._kept:
-            known, out = self._kept[wide]
-            at = np.minimum(np.searchsorted(known, c), len(known) - 1)
-            if np.array_equal(known[at], c):
-                yield c, out[at]
-                return
-        with np.errstate(divide="ignore"):
-            top = min(wide, EXACT)
-            ratio = np.zeros(wide - 1)  # of 2 tables to 1, 3 to 2 and so on; none beyond as many as customers
+        step = max(1, self.HELD // wide)
+        for lo in range(0, len(c), step):
+            some = c[lo : lo + step]
+            out = np.zeros((len(some), wide))
+            known, kept = self._kept.get(wide, (some[:0], out[:0]))
+            at = np.searchsorted(known, some)
+            old = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == some) if len(known) else at[:0]
+            new = np.delete(np.arange(len(some)), old)
+            out[old] = kept[at[old]]
+            if len(new):
+                with np.errstate(divide="ignore"):
+                    out[new, 1:] = np.cumsum(np.log(self._ratios(some[new], wide)), axis=1)
+            if len(c) <= step:
+                self._kept[wide] = some, out
+            yield some, out
+
+    def _ratios(self, c: np.ndarray, wide: int) -> np.ndarray:
+        """Ratios of 2 tables to 1, 3 to 2 and so on, a row for each of ascending c."""
+        nodes = self._reach(int(c[-1]), wide)
+        at = np.searchsorted([n for n, _, _ in nodes], c, "right") - 1
+        out, n = np.array([nodes[i][2] for i in at]), np.array([nodes[i][0] for i in at])
+        many = np.array([nodes[i][1] > 0 for i in at]) & (c > n)
+        if many.any():
+            out[many] = self._stride(out[many], n[many, None], (c - n)[many, None])
+        few = np.flatnonzero(~many)
+        few = few[np.argsort(n[few] - c[few], kind="stable")]  # those with most steps first
+        left, ratio, done = (c - n)[few], out[few], 0
+        for stop in np.unique(left).tolist():
+            k = int(np.searchsorted(-left, -stop, "right"))
+            self._ones(ratio[:k], n[few[:k], None] + done, stop - done)
+            done = stop
+        out[few] = ratio
+        return out
+
+    def _reach(self, c: int, wide: int) -> list[tuple[int, int, np.ndarray]]:
+        """Nodes up to c customers at least, where the next one lies beyond."""
+        if wide not in self._nodes:
+            top, ratio = min(wide, EXACT), np.zeros(wide - 1)  # none beyond as many tables as customers
             ratio[: top - 1] = np.exp(np.diff(self.table[EXACT, 1 : top + 1]))
-            room, fewer = EXACT - self.d * np.arange(2, wide + 1), np.zeros(wide - 1)
-            n, step = EXACT, max(1, self.HELD // wide)
-            for lo in range(0, len(c), step):
-                some = c[lo : lo + step]
-                out = np.zeros((len(some), wide))
-                for i, stop in enumerate(some.tolist()):
-                    while n < stop:
-                        stride = 0
-                        if stop - n >= 8 and n >= self.STRIDES and ratio[-1] > 0:
-                            stride = int(min(stop - n, n * min(0.05, 0.5 / (1 + 1 / ratio[-1]))))
-                        if stride >= 8:
-                            ratio = self._stride(ratio, n, stride)
-                            room += stride
-                            n += stride
-                            continue
-                        np.divide(1.0, ratio[:-1], out=fewer[1:])
-                        ratio *= room
-                        ratio += 1
-                        ratio /= fewer + (room + self.d)
-                        room += 1
-                        n += 1
-                    out[i, 1:] = np.cumsum(np.log(ratio))
-                if len(c) <= step:
-                    self._kept[wide] = some, out
-                yield some, out
-
-    def _stride(self, ratio: np.ndarray, n: int, stride: int) -> np.ndarray:
-        """The ratios for `stride` more customers than n: the logarithms' increments as a derivative at the middle of each unit, over the logarithm of n."""
-        taken = self.d * np.arange(1, len(ratio) + 1)
-
-        def slope(x: float, y: np.ndarray) -> np.ndarray:
-            at, opens = math.exp(x), np.exp(-y)
-            fewer = np.concatenate(([0.0], opens[:-1]))
+            self._nodes[wide] = [(EXACT, self._step(ratio, EXACT), ratio)]
+        nodes = self._nodes[wide]
+        while (n := nodes[-1][0]) + (apart := nodes[-1][1] or max(self.NODES, n >> 6)) <= c:
+            ratio = nodes[-1][2][None]
+            if nodes[-1][1]:
+                ratio = self._stride(ratio, np.array([[n]]), apart)
+            else:
+                ratio = ratio.copy()
+                self._ones(ratio, n, apart)
+            nodes.append((n + apart, self._step(ratio[0], n + apart), ratio[0]))
+        return nodes
+
+    def _step(self, ratio: np.ndarray, n: int) -> int:
+        stride = int(n * min(0.05, 0.5 / (1 + 1 / ratio[-1]))) if n >= self.STRIDES and len(ratio) and ratio[-1] > 0 else 0
+        return stride if stride >= 8 else 0
+
+    def _ones(self, ratio: np.ndarray, n: np.ndarray | int, steps: int) -> None:
+        """Puts so many customers more than n, one after another, into the ratios, a row each."""
+        room, fewer = n - self.d * np.arange(2, ratio.shape[1] + 2), np.zeros(ratio.shape)
+        with np.errstate(divide="ignore"):
+            for _ in range(steps):
+                np.divide(1.0, ratio[:, :-1], out=fewer[:, 1:])
+                ratio *= room
+                ratio += 1
+                ratio /= fewer + (room + self.d)
+                room += 1
+
+    def _stride(self, ratio: np.ndarray, n: np.ndarray, stride: np.ndarray | int) -> np.ndarray:
+        """The ratios for `stride` more customers than n, a row each: the logarithms' increments as a derivative at the middle of each unit, over the logarithm of n."""
+        taken = self.d * np.arange(1, ratio.shape[1] + 1)
+
+        def slope(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            at, opens = np.exp(x), np.exp(-y)
+            fewer = np.zeros(y.shape)
+            fewer[:, 1:] = opens[:, :-1]
             return at * np.log1p((opens - fewer - self.d) / (fewer + (at - 0.5) - taken))
 
-        x, y = math.log(n + 0.5), np.log(ratio)
-        h = math.log(n + stride + 0.5) - x
+        x, y = np.log(n + 0.5), np.log(ratio)
+        h = np.log(n + stride + 0.5) - x
         a = slope(x, y)
         b = slope(x + h / 2, y + h / 2 * a)
         c = slope(x + h / 2, y + h / 2 * b)
@@ -458,8 +492,8 @@ class Level:
         """Takes numbers of customers: all, or those of the dishes `at`."""
         if at is not None:
             t = np.minimum(np.maximum(self.t[at], np.minimum(c, 1)), c)
-            self.total += np.bincount(self.of[at], t - self.t[at], self.n)
-            self.customers += np.bincount(self.of[at], c - self.c[at], self.n)
+            self._moved(self.total, at, t - self.t[at])
+            self._moved(self.customers, at, c - self.c[at])
             self.c[at], self.t[at] = c, t
             return
         self.c = c
@@ -467,6 +501,11 @@ class Level:
         self.total = np.bincount(self.of, self.t, self.n)
         self.customers = np.bincount(self.of, c, self.n)
 
+    def _moved(self, sums: np.ndarray, at: np.ndarray, more: np.ndarray) -> None:
+        """Adds to the restaurants' sums what the dishes `at` have more."""
+        on = np.flatnonzero(more)
+        np.add.at(sums, self.of[at[on]], more[on].astype(sums.dtype))
+
     def predict(self, prior: np.ndarray, d: float, theta: float, at: np.ndarray | None = None) -> np.ndarray:
         if at is not None:
             of = self.of[at]
@@ -480,8 +519,12 @@ class Level:
         c, old = self.c[every], self.t[every]
         others, t = self.total[self.of[every]] - old, np.minimum(c, 1)
         two, few, many = np.flatnonzero(c == 2), np.flatnonzero((c > 2) & (c < len(table))), np.flatnonzero(c >= len(table))
+        calm = (c[few] <= SMALL) & (prior[few] * (theta + d * (others[few] + SMALL)) <= CALM)
+        small, few = few[calm], few[~calm]
         odds = prior[two] * (theta + d * (others[two] + 1)) / (1 - d)
         t[two] = 1 + (rng.random(len(two)) * (1 + odds) < odds)
+        for own in np.split(small, range(1 << 16, len(small), 1 << 16)) if len(small) else ():
+            t[own] = self._multiplied(c[own], prior[own], others[own], d, theta, table, rng)
         for own in np.split(few, np.flatnonzero(np.diff(np.cumsum(c[few]) >> 20)) + 1) if len(few) else ():  # of about a million cells
             t[own] = self._exact(c[own], prior[own], others[own], d, theta, table, rng)
         if len(many) and isinstance(ways, Ways):
@@ -491,7 +534,10 @@ class Level:
             self.seats.sweep(prior[many], others[many], d, theta, rng, reseated)
             t[many] = self.seats.t
         self.t[every] = t
-        self.total = np.bincount(self.of, self.t, self.n) if at is None else self.total + np.bincount(self.of[at], t - old, self.n)
+        if at is None:
+            self.total = np.bincount(self.of, self.t, self.n)
+        else:
+            self._moved(self.total, at, t - old)
 
     def _seat(self, many: np.ndarray, prior: np.ndarray, others: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> None:
         """The seats of those dishes, kept where they were, with as many customers as there are now."""
@@ -503,6 +549,29 @@ class Level:
         self.seats = Seats(many, size)
         self.seats.guests(self.c[many], prior, others, d, theta, rng)
 
+    @staticmethod
+    def _multiplied(c: np.ndarray, prior: np.ndarray, others: np.ndarray, d: float, theta: float, ways: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """The same draw as `_exact` for dishes of few customers: the odds of one table more are multiplied, those with most customers in front."""
+        most = int(c.max())
+        order = np.argsort((most - c).astype(np.uint8), kind="stable")
+        c, prior, rate = c[order], prior[order], theta + d * others[order]
+        more = np.zeros((most + 1, most + 1))
+        for k in range(2, most + 1):
+            more[2 : k + 1, k] = np.exp(np.diff(ways[k, 1 : k + 1]))
+        weight, total = np.ones(len(c)), np.ones(len(c))
+        mass, long = [total.copy()], len(c) - np.cumsum(np.bincount(c, minlength=most + 1))
+        for t in range(2, most + 1):
+            k = int(long[t - 1])  # of t customers at least
+            weight = weight[:k] * prior[:k] * (rate[:k] + d * (t - 1)) * more[t][c[:k]]
+            total[:k] += weight
+            mass.append(total[:k].copy())
+        drawn, at = np.ones(len(c), np.int64), rng.random(len(c)) * total
+        for x in mass:
+            drawn[: len(x)] += x <= at[: len(x)]
+        out = np.empty_like(drawn)
+        out[order] = np.minimum(drawn, c)
+        return out
+
     @staticmethod
     def _exact(c: np.ndarray, prior: np.ndarray, others: np.ndarray, d: float, theta: float, ways: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         start = np.cumsum(c) - c

@@ -199,6 +199,43 @@ def test_the_same_draws_beyond_the_table(monkeypatch):
             assert rows[1, : min(n, wide)] == pytest.approx(whole[n, 1 : min(n, wide) + 1] - whole[n, 1], abs=1e-9) and np.isneginf(rows[0, 9:]).all()
 
 
+def test_the_way_to_rows_is_gone_once(monkeypatch):
+    """Rows of other customers start from the nodes of those before, and are the same as from the beginning, step by step or by many."""
+    steps, stride = [], hpylm.Ways._stride
+    monkeypatch.setattr(hpylm.Ways, "_stride", lambda *x: steps.append(1) or stride(*x))
+    for d, wide in ((0.3, 32), (0.84, 256)):
+        ways, c = hpylm.Ways(d), np.array([1100, 5000, 40_000])
+        list(ways.rows(c, wide))
+        first = len(steps)
+        ((_, again),) = ways.rows(c + 7, wide)
+        assert first > 20 and len(steps) - first <= 1
+        steps.clear()
+        monkeypatch.setattr(hpylm.Ways, "STRIDES", 1 << 40)
+        ((_, single),) = hpylm.Ways(d).rows(c + 7, wide)
+        monkeypatch.undo()
+        monkeypatch.setattr(hpylm.Ways, "_stride", lambda *x: steps.append(1) or stride(*x))
+        assert np.diff(again) == pytest.approx(np.diff(single), abs=5e-5)
+        assert np.array_equal(next(ways.rows(np.array([1107, 2000]), wide))[1][0], again[0])  # kept rows beside new ones
+
+
+def test_draws_of_few_customers():
+    """Multiplied out, the draws are those by logarithms; where that leaves the range of numbers, logarithms are used."""
+    d, theta, n = 0.84, 1.0, 3000
+    table, rng = hpylm.log_tables(64, d), np.random.default_rng(5)
+    for c in (2, 3, 10, 64):
+        prior, others = rng.random(n) ** 4, rng.integers(0, 900, n)
+        x = np.full(n, c), prior, others, d, theta, table
+        assert np.array_equal(hpylm.Level._multiplied(*x, np.random.default_rng(6)), hpylm.Level._exact(*x, np.random.default_rng(6)))
+    c = rng.integers(3, 65, n)  # of mixed sizes: each draw has its own dish's mean
+    got = np.mean([hpylm.Level._multiplied(c, np.full(n, 0.02), np.full(n, 40), d, theta, table, rng) for _ in range(200)], axis=0)
+    want = np.mean([hpylm.Level._exact(c, np.full(n, 0.02), np.full(n, 40), d, theta, table, rng) for _ in range(200)], axis=0)
+    assert np.abs(got - want).max() < 1 and got.sum() == pytest.approx(want.sum(), rel=3e-3)
+    level = hpylm.Level(np.full(4, 64), np.zeros(4, np.int64), 1)
+    level.total = level.total + 1e15
+    level.sweep(np.full(4, 0.9), d, theta, hpylm.Ways(d), rng)
+    assert (level.t == 64).all()
+
+
 def test_draws_of_many_tables():
     """Beyond PEAKED tables the draws have the conditional's mean and spread."""
     d, theta, prior, others, n = 0.84, 1.0, 0.05, 20_000, 4000
