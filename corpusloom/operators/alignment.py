@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from corpusloom.functions.grouped import apply_sorted
+from corpusloom.functions.grouped import Group, apply_sorted
 from corpusloom.operators.similarity import WORD, ZONE_CODE, block_changes, redline, unified_diff, zone_codes
 
 # Why two sections are taken for the same, and how sure that is.
@@ -79,11 +80,11 @@ def section_changes(a: DataFrame, b: DataFrame, matches: DataFrame, pair: list[s
     rows = side(a, "a_section", 0).unionByName(side(b, "b_section", 1))
     keys = [*pair, "__m"]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        whole = lambda v: None if pd.isna(v) else int(v)
-        ends = whole(pdf.a_section.iloc[0]), whole(pdf.b_section.iloc[0])
-        return [(*key[:-1], *ends, t, None if i is None else int(x.ordinal.iloc[i]), None if j is None else int(y.ordinal.iloc[j])) for t, i, j in block_changes(x.key.tolist(), y.key.tolist())]
+    def run(key: tuple, group: Group) -> Iterator[tuple]:
+        x, y = group.where("side", 0), group.where("side", 1)
+        a_at, b_at, ends = x.ordinal, y.ordinal, (group.a_section[0], group.b_section[0])
+        for t, i, j in block_changes(x.key, y.key):
+            yield *key[:-1], *ends, t, None if i is None else a_at[i], None if j is None else b_at[j]
 
     kinds = ", ".join(f"{p} {a.schema[p].dataType.simpleString()}" for p in pair)
     return apply_sorted(rows, keys, ["side", "ordinal"], run, f"{kinds}, a_section int, b_section int, change string, a_ordinal int, b_ordinal int")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.grouped import apply_sorted
+from corpusloom.functions.grouped import Group, apply_sorted
 
 
 def weighted(weights: list[int], groups: int) -> list[int]:
@@ -23,9 +22,10 @@ def weighted(weights: list[int], groups: int) -> list[int]:
 def plan(items: DataFrame, groups: int, by: str = "doc", weight: str = "weight") -> DataFrame:
     """items(doc, idx, weight) -> doc, chunk, first, last, weight."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    def run(key: tuple, group: Group) -> list[tuple]:
         out: list[list] = []
-        for idx, w, c in zip(pdf.idx.tolist(), pdf[weight].tolist(), weighted(pdf[weight].tolist(), groups)):
+        weights = getattr(group, weight)
+        for idx, w, c in zip(group.idx, weights, weighted(weights, groups)):
             if not out or out[-1][1] != c:
                 out.append([key[0], c, idx, idx, 0])
             out[-1][3], out[-1][4] = idx, out[-1][4] + w

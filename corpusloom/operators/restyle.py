@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.grouped import apply_sorted
+from corpusloom.functions.grouped import Group, apply_sorted
 
 
 @dataclass(frozen=True)
@@ -99,7 +98,7 @@ class _Reader:
 def assign(items: DataFrame, book: Book) -> DataFrame:
     """items(file, idx, kind, text) of a body -> file, idx, role, style, level, numbering of its paragraphs. One exchange by document; a document fits into a task."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> list[tuple]:
+    def run(key: tuple, rows: Group) -> list[tuple]:
         reader, out = _Reader(book), []
         for at, kind, text in zip(rows.idx, rows.kind, rows.text):
             if kind == "table":

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import difflib
 import functools
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.grouped import apply_sorted
+from corpusloom.functions.grouped import Group, apply_sorted
 from corpusloom.functions.normalize import fold_yo, norm_space
 
 # Fixed value: what a word is.
@@ -101,10 +101,10 @@ def _set_jaccard(a: set, b: set) -> float:
     return 1.0 if not a and not b else 0.0 if not a or not b else len(a & b) / len(a | b)
 
 
-def match_sections(a: pd.DataFrame, b: pd.DataFrame, least: float = 0.3) -> list[tuple[int | None, int | None, float, str]]:
+def match_sections(a: Group, b: Group, least: float = 0.3) -> list[tuple[int | None, int | None, float, str]]:
     """Greedy one-to-one matching of sections (ordinal, title, shingles): best scores first, then order."""
     scores = []
-    sets = lambda df: [(o, t, set(s)) for o, t, s in zip(df.ordinal.tolist(), df.title.tolist(), df.shingles.tolist())]
+    sets = lambda df: [(o, t, set(s)) for o, t, s in zip(df.ordinal, df.title, df.shingles)]
     right = sets(b)
     for i, title_a, x in sets(a):
         for j, title_b, y in right:
@@ -128,8 +128,8 @@ def section_alignment(a: DataFrame, b: DataFrame, pair: list[str], least: float
     columns = [*pair, "ordinal", "title", "shingles"]
     sided = a.select(*columns, F.lit(0).alias("side")).unionByName(b.select(*columns, F.lit(1).alias("side")))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        return [(*key, *m) for m in match_sections(pdf[pdf.side == 0], pdf[pdf.side == 1], least)]
+    def run(key: tuple, group: Group) -> list[tuple]:
+        return [(*key, *m) for m in match_sections(group.where("side", 0), group.where("side", 1), least)]
 
     kinds = ", ".join(f"{p} {a.schema[p].dataType.simpleString()}" for p in pair)
     return apply_sorted(sided, pair, ["side", "ordinal"], run, f"{kinds}, a_ordinal int, b_ordinal int, similarity double, status string")
@@ -165,9 +165,11 @@ def sequence_diff(a: DataFrame, b: DataFrame, pair: list[str]) -> DataFrame:
 
     sided = a.select(*pair, "ordinal", "key", F.lit(0).alias("side")).unionByName(b.select(*pair, "ordinal", "key", F.lit(1).alias("side")))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        return [(*key, t, None if i is None else int(x.ordinal.iloc[i]), None if j is None else int(y.ordinal.iloc[j])) for t, i, j in block_changes(x.key.tolist(), y.key.tolist())]
+    def run(key: tuple, group: Group) -> Iterator[tuple]:
+        x, y = group.where("side", 0), group.where("side", 1)
+        a_at, b_at = x.ordinal, y.ordinal
+        for t, i, j in block_changes(x.key, y.key):
+            yield *key, t, None if i is None else a_at[i], None if j is None else b_at[j]
 
     kinds = ", ".join(f"{p} {a.schema[p].dataType.simpleString()}" for p in pair)
     return apply_sorted(sided, pair, ["side", "ordinal"], run, f"{kinds}, change string, a_ordinal int, b_ordinal int")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import difflib
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.grouped import apply_sorted
+from corpusloom.functions.grouped import Group, apply_sorted
 from corpusloom.functions.normalize import norm_space
 
 # Fixed value: what reads as a number.
@@ -75,8 +77,19 @@ def widths(scores: DataFrame, by: list[str], total: float, least: float) -> Data
     return scores.withColumn("width", F.lit(least) + F.greatest(free, F.lit(0.0)) * F.col("score") / F.sum("score").over(w))
 
 
+@functools.lru_cache(maxsize=4096, typed=True)
+def _cell_key(x: object) -> str:
+    return " ".join(str(x or "").replace("\u00a0", " ").split()).lower()
+
+
 def _key(row: list) -> tuple:
-    return tuple(" ".join(str(x or "").replace("\u00a0", " ").split()).lower() for x in row)
+    return tuple(map(_cell_key, row))
+
+
+@functools.lru_cache(maxsize=4096)
+def _head_ratio(a: str, b: str) -> float:
+    """difflib's ratio of two headers; documents repeat theirs."""
+    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
 
 
 def stitch(tables: list[dict], tolerance: int = 5000, probe: int = 16) -> list[dict]:
@@ -101,8 +114,8 @@ def stitch(tables: list[dict], tolerance: int = 5000, probe: int = 16) -> list[d
 def stitch_tables(tables: DataFrame) -> DataFrame:
     """tables(doc, table_index, width, style, total, text_before, rows) -> doc, first, members, n_rows, dropped."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        got = stitch([{**r, "rows": [list(x) for x in r["rows"]]} for r in pdf.to_dict("records")])
+    def run(key: tuple, group: Group) -> list[tuple]:
+        got = stitch(group.records())
         return [(key[0], g["members"][0], g["members"], len(g["rows"]), g["dropped"]) for g in got]
 
     return apply_sorted(tables, ["doc"], ["table_index"], run, f"doc {tables.schema['doc'].dataType.simpleString()}, first int, members array<int>, n_rows int, dropped int")
@@ -110,14 +123,12 @@ def stitch_tables(tables: DataFrame) -> DataFrame:
 
 def group_tables(tables: list[dict], mode: str = "safe") -> list[list[int]]:
     """Runs of tables compatible with the first of their run: equal width, and headers as similar as the mode asks."""
-    import difflib
-
     least = {"safe": 0.82, "balanced": 0.65, "width": 0.0}[mode]
     groups: list[list[dict]] = []
     for t in tables:
         anchor = groups[-1][0] if groups else None
         head = lambda x: " ".join(_key(x["rows"][0])) if x["rows"] else ""
-        if anchor and anchor["width"] == t["width"] and difflib.SequenceMatcher(None, head(anchor), head(t)).ratio() >= least:
+        if anchor and anchor["width"] == t["width"] and _head_ratio(head(anchor), head(t)) >= least:
             groups[-1].append(t)
         else:
             groups.append([t])
@@ -127,8 +138,8 @@ def group_tables(tables: list[dict], mode: str = "safe") -> list[list[int]]:
 def grouped_tables(tables: DataFrame, mode: str = "safe") -> DataFrame:
     """tables(doc, table_index, width, rows) -> doc, first, members: group_tables of each document."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        return [(key[0], g[0], g) for g in group_tables([{**r, "rows": [list(x) for x in r["rows"]]} for r in pdf.to_dict("records")], mode)]
+    def run(key: tuple, group: Group) -> list[tuple]:
+        return [(key[0], g[0], g) for g in group_tables(group.records(), mode)]
 
     return apply_sorted(tables, ["doc"], ["table_index"], run, f"doc {tables.schema['doc'].dataType.simpleString()}, first int, members array<int>")
 
@@ -136,8 +147,8 @@ def grouped_tables(tables: DataFrame, mode: str = "safe") -> DataFrame:
 def running_tables(tables: DataFrame, separate: bool = False) -> DataFrame:
     """tables(doc, table_index, width, style, total, text_before, rows) -> doc, first, members, rows, dropped: stitch_running of each document."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        got = stitch_running([{**r, "rows": [list(x) for x in r["rows"]]} for r in pdf.to_dict("records")], separate=separate)
+    def run(key: tuple, group: Group) -> list[tuple]:
+        got = stitch_running(group.records(), separate=separate)
         return [(key[0], g["members"][0], g["members"], g["rows"], g["dropped"]) for g in got]
 
     return apply_sorted(tables, ["doc"], ["table_index"], run, f"doc {tables.schema['doc'].dataType.simpleString()}, first int, members array<int>, rows array<array<string>>, dropped int")

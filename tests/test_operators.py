@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom import registry
-from corpusloom.operators import address, chunks, findings, morph, paragraphs, reconcile, similarity, structure, tables
+from corpusloom.operators import address, chunks, findings, inspector, morph, paragraphs, reconcile, similarity, structure, tables
 
 
 def test_reconcile_quirks(spark):
@@ -120,3 +120,43 @@ def test_running_header():
     t = {"width": 1, "style": "", "total": 100, "text_before": False}
     got = tables.stitch_running([{**t, "table_index": 0, "rows": [["preheader"], ["head"], ["1"]]}, {**t, "table_index": 1, "rows": [["Head"], ["2"]]}, {**t, "table_index": 2, "rows": [["3"]]}], separate=True)
     assert [g["rows"] for g in got] == [[["preheader"]], [["head"], ["1"], ["2"], ["3"]]]
+
+
+def test_inspect_reads_items_and_marks_once(spark):
+    """Packages aren't parsed anew for each of the checks."""
+    read = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    items = spark.range(40).selectExpr("cast(id % 8 as string) AS file", "cast(id AS int) AS idx", "'paragraph' AS kind", "'' AS text", "'' AS style_name", "cast(null AS string) AS num_id", "0 AS drawings", "true AS ok", "cast(null AS string) AS error")
+    marks = spark.range(8).selectExpr("cast(id AS string) AS file", "0 AS idx", "'start' AS kind", "'1' AS id", "'b' AS name", "true AS ok")
+    again = lambda df: df.mapInArrow(once, df.schema)
+    found = inspector.inspect(again(items), again(marks)).groupBy("class_id").count().collect()
+    assert dict(found) == {"duplicated-empty-paragraphs": 8, "bookmark-start-without-end": 8}
+    assert read.value == 48
+
+
+def test_ordered_groups_with_a_null_key_stay_whole(spark):
+    from corpusloom.functions.grouped import apply_sorted
+
+    rows = spark.createDataFrame([(None, 2), (None, 1), ("a", 3)], "doc string, idx int")
+    got = apply_sorted(rows, ["doc"], ["idx"], lambda key, g: [(key[0], g.idx)], "doc string, found array<int>").collect()
+    assert sorted((r.doc or "", r.found) for r in got) == [("", [1, 2]), ("a", [3])]
+
+
+def test_arrow_lists_are_read_as_arrow_tells_them():
+    import pyarrow as pa
+
+    from corpusloom.functions.batches import pylist
+
+    nested = pa.array([[["a", None], []], None, [], [None, ["b"]]], pa.list_(pa.list_(pa.string())))
+    structs = pa.array([{"x": 1, "y": [1, 2]}, None, {"x": None, "y": None}], pa.struct([("x", pa.int32()), ("y", pa.list_(pa.int64()))]))
+    for a in (nested, structs, pa.array([1, None, 3]), pa.array([True, False]), pa.array([1.5, None]), pa.array([b"a", None])):
+        for part in (a, a.slice(1), a.slice(1, 1), a.slice(0, 0)):
+            assert repr(pylist(part)) == repr(part.to_pylist())
+    assert tables._key([1, True, 1.0, None, " A b "]) == ("1", "true", "1.0", "", "a b")
+    tables.group_tables([{"table_index": i, "width": 2, "rows": [["имя", "сумма" if i % 2 else "сумма "]]} for i in range(50)])
+    assert tables._head_ratio.cache_info().misses <= 8  # equal headers are compared once
