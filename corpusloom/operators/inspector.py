@@ -14,12 +14,23 @@ from corpusloom.functions.patterns import to_java
 from corpusloom.operators import structure
 from corpusloom.operators.findings import capped
 from corpusloom.operators.tables import looks_numeric
+from corpusloom.plans.session import checkpoints
 
 
 def _finding(rows: DataFrame, class_id: Column | str, severity: str, evidence: Column, idx: str | None = "idx") -> DataFrame:
     return rows.select(F.col("file"), (F.lit(class_id) if isinstance(class_id, str) else class_id).alias("class_id"), F.lit(severity).alias("severity"), (F.col(idx).cast("long") if idx else F.lit(None).cast("long")).alias("idx"), evidence.cast("string").alias("evidence"))
 
 
+def _when(on: Column, class_id: str, severity: str, evidence: Column) -> Column:
+    return F.when(on, F.struct(F.lit(class_id).alias("class_id"), F.lit(severity).alias("severity"), evidence.cast("string").alias("evidence")))
+
+
+def _told(tables_: DataFrame, found: list[Column]) -> DataFrame:
+    """What is found on each table, in one pass."""
+    rows = tables_.select("file", F.col("table_index").cast("long").alias("idx"), F.explode(F.array_compact(F.array(*found))).alias("f"))
+    return rows.select("file", "f.class_id", "f.severity", "idx", "f.evidence")
+
+
 def _captions(items: DataFrame) -> DataFrame:
     c = items.filter("kind = 'paragraph'").withColumn("c", structure.caption(F.col("text"))).filter("c is not null")
     return c.select("file", "idx", F.col("c.kind").alias("of"), F.col("c.num").alias("num"), F.col("c.dots").alias("dots"), "text")
@@ -116,13 +127,12 @@ def tables(grids: DataFrame, page_cm: float = 17.0) -> DataFrame:
         "lengths": F.filter(F.flatten(F.transform("grid", lambda r: F.transform(r, lambda x: F.length(F.coalesce(x, F.lit("")))))), lambda n: n > 0),
     })
     avg = F.aggregate("lengths", F.lit(0), lambda a, x: a + x) / F.greatest(F.size("lengths"), F.lit(1))
-    put = lambda on, name, severity, evidence: _finding(t.filter(on), name, severity, evidence, "table_index")
-    return reduce(DataFrame.unionByName, [
-        put((F.col("over") > 0.3) & (F.col("over") < 0.8), "table-width-over-margins", "warning", F.round("over", 2)), put(F.col("over") >= 0.8, "table-width-over-margins", "critical", F.round("over", 2)),
-        put((F.col("empty_rows") > 0) & (F.col("height") > 0), "table-empty-rows", "info", F.col("empty_rows")), put((F.col("empty_columns") > 0) & (F.col("width") > 0), "table-empty-columns", "info", F.col("empty_columns")),
-        put(F.col("merges").between(1, 4), "table-suspicious-body-merge", "info", F.col("merges")),
-        put((F.col("width") >= 8) & ((avg >= 28) | (F.array_max("lengths") >= 140)), "table-dense-cells", "info", F.round(avg, 1)),
-        put((F.col("height") >= 25), "table-header-not-repeated", "info", F.col("height")),
+    return _told(t, [
+        _when((F.col("over") > 0.3) & (F.col("over") < 0.8), "table-width-over-margins", "warning", F.round("over", 2)), _when(F.col("over") >= 0.8, "table-width-over-margins", "critical", F.round("over", 2)),
+        _when((F.col("empty_rows") > 0) & (F.col("height") > 0), "table-empty-rows", "info", F.col("empty_rows")), _when((F.col("empty_columns") > 0) & (F.col("width") > 0), "table-empty-columns", "info", F.col("empty_columns")),
+        _when(F.col("merges").between(1, 4), "table-suspicious-body-merge", "info", F.col("merges")),
+        _when((F.col("width") >= 8) & ((avg >= 28) | (F.array_max("lengths") >= 140)), "table-dense-cells", "info", F.round(avg, 1)),
+        _when((F.col("height") >= 25), "table-header-not-repeated", "info", F.col("height")),
     ])
 
 
@@ -153,23 +163,34 @@ def layout(sections: DataFrame) -> DataFrame:
 
 def table_looks(formats: DataFrame) -> DataFrame:
     """Tables of fixed row heights, mixed borders, cell margins, fonts or sizes, or that couldn't be read."""
-    put = lambda on, name, severity, evidence: _finding(formats.filter(on), name, severity, evidence, "table_index")
     fixed = F.col("exact_rows") > 0
-    return reduce(DataFrame.unionByName, [
-        put(fixed & (F.col("no_wrap") > 0), "table-fixed-row-height", "critical", F.col("exact_rows")), put(fixed & (F.col("no_wrap") == 0), "table-fixed-row-height", "warning", F.col("exact_rows")),
-        put(F.col("borders") > 2, "table-border-mixed", "warning", F.col("borders")), put(F.col("margins") > 2, "table-cell-margins-mixed", "warning", F.col("margins")),
-        put((F.col("fonts") > 3) | (F.col("size_range") >= 3), "table-fonts-mixed", "warning", F.col("fonts")), put(F.col("failed").isNotNull(), "table-model-failed", "warning", F.col("failed")),
+    return _told(formats, [
+        _when(fixed & (F.col("no_wrap") > 0), "table-fixed-row-height", "critical", F.col("exact_rows")), _when(fixed & (F.col("no_wrap") == 0), "table-fixed-row-height", "warning", F.col("exact_rows")),
+        _when(F.col("borders") > 2, "table-border-mixed", "warning", F.col("borders")), _when(F.col("margins") > 2, "table-cell-margins-mixed", "warning", F.col("margins")),
+        _when((F.col("fonts") > 3) | (F.col("size_range") >= 3), "table-fonts-mixed", "warning", F.col("fonts")), _when(F.col("failed").isNotNull(), "table-model-failed", "warning", F.col("failed")),
     ])
 
 
 CHECKS: dict[str, Callable] = {"captions": captions, "caption_places": caption_places, "spacing": spacing, "lists": lists, "contents": contents}
 
 
+#: What the checks read of items and marks.
+ITEM = ("file", "idx", "kind", "text", "style_name", "num_id", "drawings", "ok", "error")
+MARK = ("file", "idx", "kind", "id", "name")
+
+
+def _held(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The rows in a checkpoint, by file and in order: a score of branches reads them, and packages would be parsed anew for each."""
+    checkpoints(rows.sparkSession)
+    return rows.select(*[c for c in rows.columns if c in columns]).repartition("file").sortWithinPartitions("file", "idx").checkpoint()
+
+
 def inspect(items: DataFrame, marks: DataFrame | None = None, grids: DataFrame | None = None, skip: tuple[str, ...] = (), most: int = 300, sections: DataFrame | None = None, formats: DataFrame | None = None) -> DataFrame:
     """All checks but the skipped; files that couldn't be opened are critical findings; beyond `most` a file a row says so (the report's limit)."""
+    items, marks = _held(items, ITEM), marks if marks is None else _held(marks.filter("ok"), MARK)
     good = items.filter("ok")
     out = [f(good) for name, f in CHECKS.items() if name not in skip]
-    out += [fields(marks.filter("ok"), good)] if marks is not None and "fields" not in skip else []
+    out += [fields(marks, good)] if marks is not None and "fields" not in skip else []
     out += [tables(grids.filter("ok"))] if grids is not None and "tables" not in skip else []
     out += [layout(sections.filter("ok"))] if sections is not None and "layout" not in skip else []
     out += [table_looks(formats.filter("ok"))] if formats is not None and "tables" not in skip else []
