@@ -180,9 +180,9 @@ MARK = ("file", "idx", "kind", "id", "name")
 
 
 def _held(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The rows in a checkpoint, by file and in order: a score of branches reads them, and packages would be parsed anew for each."""
+    """The rows in a checkpoint: a score of branches reads them, and packages would be parsed anew for each."""
     checkpoints(rows.sparkSession)
-    return rows.select(*[c for c in rows.columns if c in columns]).repartition("file").sortWithinPartitions("file", "idx").checkpoint()
+    return rows.select(*[c for c in rows.columns if c in columns]).checkpoint()
 
 
 def inspect(items: DataFrame, marks: DataFrame | None = None, grids: DataFrame | None = None, skip: tuple[str, ...] = (), most: int = 300, sections: DataFrame | None = None, formats: DataFrame | None = None) -> DataFrame:
