@@ -20,7 +20,7 @@ KINDS = (
     ("numbered-heading", r"^\s*(\d+(?:\.\d+){1,5})\.?\s+(.+)"),
     ("list-dash", r"^\s*[-–—]\s+\S"),
     ("list-bullet", r"^\s*[•·●]\s+\S"),
-    ("list-number", r"^\s*(?:\d+|[IVXLCDM]+)[\.)]\s+\S"),
+    ("list-number", r"^\s*(?:\d+|(?-i:[IVXLCDM]+|[ivxlcdm]+))[\.)]\s+\S"),  # in one case: "Mil." is a word
     ("list-letter", r"^\s*[A-Za-zА-Яа-яЁё][\.)]\s+\S"),
 )
 # Fixed value: what is a measured value and no heading.

@@ -160,3 +160,9 @@ def test_arrow_lists_are_read_as_arrow_tells_them():
     assert tables._key([1, True, 1.0, None, " A b "]) == ("1", "true", "1.0", "", "a b")
     tables.group_tables([{"table_index": i, "width": 2, "rows": [["имя", "сумма" if i % 2 else "сумма "]]} for i in range(50)])
     assert tables._head_ratio.cache_info().misses <= 8  # equal headers are compared once
+
+
+def test_words_of_roman_letters_are_no_list_numbers(spark):
+    texts = {"Llci. | asción": None, "Mil. слов": None, "IV. пункт": "list-number", "iv) пункт": "list-number", "7. пункт": "list-number"}
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", paragraphs.kind(F.col("text")).alias("kind"))
+    assert dict(got.collect()) == texts
