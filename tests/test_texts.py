@@ -79,3 +79,12 @@ def test_similar_pairs_on_documents(spark):
 def test_long_chain_of_styles(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(80)], "src long, dst long")
     assert structure.closure(spark.createDataFrame([(0,)], "id long"), edges).count() == 81
+
+
+def test_near_dupe_pairs_are_found_once(spark):
+    """Pairs and their documents' sections are held; what judges them reads no documents anew."""
+    from corpusloom.plans import catalogue
+    from tests.conftest import SF
+
+    plan = catalogue.queries()["near_dupe_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in plan and "FileScan" not in plan
