@@ -27,7 +27,7 @@ _UNTIDY = "u AS (SELECT l_orderkey AS file, l_linenumber AS node, CAST(CAST(l_qu
 UNION ALL SELECT file, node, 'missing_after_punct', 8 + a, 9 + a, ',', ', ' FROM u UNION ALL SELECT file, node, 'soft_hyphen', 19 + a + b, 20 + a + b, chr(173), '' FROM u UNION ALL SELECT file, node, 'missing_after_dot', 21 + a + b, 22 + a + b, '.', '. ' FROM u)
 SELECT file, node, class_id, s::INT AS start, e::INT AS "end", before, after FROM f""")
 def hygiene_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hygiene.scan(_untidy(spark, sf_dir), check_dot=True).select("file", "node", "class_id", "start", "end", "before", "after")
+    return hygiene.scan(dealt(_untidy(spark, sf_dir), "file", "node"), check_dot=True).select("file", "node", "class_id", "start", "end", "before", "after")
 
 
 @query(f"WITH {_UNTIDY} SELECT file, node, 'Сумма ' || q || ', итог: ' || p || ' шту' || chr(173) || 'к. Далее руб.нет' AS fixed FROM u")
@@ -41,7 +41,8 @@ def comma_lowercase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first capitalised word after a comma, over acronyms and Roman numerals."""
     li = read(spark, sf_dir, "lineitem")
     text = F.concat(F.lit("Всего, Рублей "), F.col("l_quantity").cast("int").cast("string"), F.lit(", ООО Ромашка, IV Квартал,не Так, ЖКХ"))
-    return li.select("l_orderkey", "l_linenumber", hygiene.lowercase_after_comma(text).alias("after"))
+    rows = dealt(li.select("l_orderkey", "l_linenumber", text.alias("text")), "l_orderkey", "l_linenumber")
+    return rows.select("l_orderkey", "l_linenumber", hygiene.lowercase_after_comma(F.col("text")).alias("after"))
 
 
 @query(f"""WITH {_UNTIDY}, f AS (SELECT file, node, 'double_space' AS class_id FROM u UNION ALL SELECT file, node, 'space_before_punct' FROM u UNION ALL SELECT file, node, 'missing_after_punct' FROM u UNION ALL SELECT file, node, 'soft_hyphen' FROM u)
